@@ -1,21 +1,31 @@
-"""Naive and zoned timestamps, read as UTC whatever the session's zone is."""
+"""Naive and zoned timestamps, read as UTC whatever the session's zone is.
+
+A plain cast would use the session's zone and shift or merge values around
+daylight saving changes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPOCH = F.lit("1970-01-01 00:00:00")
-
 
 def utc_instant(naive: Column | str) -> Column:
     """TIMESTAMP of a TIMESTAMP_NTZ that was written in UTC."""
     naive = F.col(naive) if isinstance(naive, str) else naive
-    micros = F.timestamp_diff("MICROSECOND", _EPOCH.cast("timestamp_ntz"), naive)
-    return F.timestamp_micros(micros)
+    return F.make_timestamp_ltz(
+        F.year(naive),
+        F.month(naive),
+        F.day(naive),
+        F.hour(naive),
+        F.minute(naive),
+        F.extract(F.lit("SECOND"), naive),
+        F.lit("UTC"),
+    )
 
 
 def utc_naive(instant: Column | str) -> Column:
     """TIMESTAMP_NTZ that shows a TIMESTAMP in UTC."""
     instant = F.col(instant) if isinstance(instant, str) else instant
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _EPOCH.cast("timestamp_ntz"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadweave import fixed_values as fv
 from loadweave.functions import names
 
 # event_type values of the test data, in the place of the five file types
@@ -91,3 +92,150 @@ def fleet(spark, sf_dir) -> DataFrame:
         F.col("s_suppkey").alias("vehicle_id"),
         (F.lit(12000) + F.lit(1000) * (F.col("s_suppkey") % 5)).cast("long").alias("capacity"),
     )
+
+
+def labelled_documents(spark, sf_dir) -> DataFrame:
+    """documents with their label, NULL where there is none."""
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id", "left")
+
+
+def submissions(spark, sf_dir) -> DataFrame:
+    """One form submission per document, as JSON text in column ``value``.
+
+    Documents without a label lack a contact. Text and slots follow the label, so
+    that empty, missing and repeated file names all occur.
+    """
+    d = labelled_documents(spark, sf_dir)
+    size = names.size_bytes("text")
+
+    def file(name, wanted):
+        made = F.struct(
+            name.alias("filename"), F.lit("text/csv").alias("content_type"), size.alias("size")
+        )
+        return F.when(wanted, made)
+
+    leaf = F.concat("lang", F.lit(".csv"))
+    twice = file(leaf, F.lit(True))
+    return d.select(
+        F.to_json(
+            F.struct(
+                F.lpad(F.col("doc_id").cast("string"), 15, "0").alias("submission_id"),
+                F.col("source").alias("company_name"),
+                F.when(F.col("quality").isNotNull(), F.col("lang")).alias("contact_name"),
+                F.concat(F.lit("0"), F.col("doc_id").cast("string")).alias("mobile"),
+                F.when(F.col("toxic") == 1, F.lit("a@b.example")).alias("email"),
+                F.when(F.col("toxic") == 0, F.lit("")).alias("industry"),
+                F.col("text").alias("goal"),
+                file(leaf, F.col("quality") == 1).alias("orders_file"),
+                file(F.lit(""), F.col("quality") == 0).alias("fleet_file"),
+                file(F.concat(F.lit("in/"), leaf), F.col("toxic") == 1).alias("drivers_file"),
+                file(leaf, F.col("n_chars") > 500).alias("gps_file"),
+                F.when(F.col("toxic") == 1, F.array(twice, twice)).alias("other_files"),
+            )
+        ).alias("value")
+    )
+
+
+def landed_documents(spark, sf_dir) -> DataFrame:
+    """documents as files on disk: path and size; the layout follows the language."""
+    kind = F.element_at(
+        F.array(*[F.lit(t) for t in ("orders", "fleet", "drivers", "gps", "other")]),
+        (F.col("doc_id") % 5 + 1).cast("int"),
+    )
+    leaf = F.concat("lang", F.lit(" 1%.txt"))
+    form = names.landing_path_form("doc_id", kind, leaf)
+    upload = names.landing_path_upload("doc_id", F.concat(F.md5("text"), F.lit(".txt")))
+    loose = names.landing_path_upload("doc_id", F.lit("notes.txt"))
+    path = (
+        F.when(F.col("lang").isin("en", "de"), form)
+        .when(F.col("lang") == "fr", upload)
+        .otherwise(loose)
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("file:/mnt/"), path).alias("path"), names.size_bytes("text").alias("size")
+    )
+
+
+def catalogued_files(spark, sf_dir) -> DataFrame:
+    """File rows for labelled documents, counted in characters, and for pages, not on disk."""
+    labelled = (
+        table(spark, sf_dir, "labels")
+        .join(table(spark, sf_dir, "documents"), "doc_id")
+        .select(
+            F.col("doc_id").alias("id"),
+            names.landing_path_form("doc_id", F.lit("other"), F.concat("lang", F.lit(".txt"))).alias(
+                "file_path"
+            ),
+            F.col("n_chars").alias("file_size"),
+        )
+    )
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"),
+        names.landing_path_form("page_id", F.lit("gps"), F.lit("page.html")).alias("file_path"),
+        names.size_bytes("html").alias("file_size"),
+    )
+    return labelled.unionByName(pages)
+
+
+def stored_documents(spark, sf_dir) -> DataFrame:
+    """documents as files of the form layout under a mount point: path and size."""
+    leaf = F.concat("lang", F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(
+            F.lit("file:/mnt/"), names.landing_path_form("doc_id", F.lit("other"), leaf)
+        ).alias("path"),
+        names.size_bytes("text").alias("size"),
+    )
+
+
+def page_names(spark, sf_dir) -> DataFrame:
+    """page_id and the last path part of the page's address."""
+    return table(spark, sf_dir, "pages").select(
+        "page_id", names.base_name(F.regexp_replace("url", r"[?#].*$", "")).alias("name")
+    )
+
+
+def status_feed(spark, sf_dir) -> DataFrame:
+    """events as status messages of their user."""
+    return as_status_feed(table(spark, sf_dir, "events"))
+
+
+def as_status_feed(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("status"), "ts", "event_id"
+    )
+
+
+def vehicle_snapshot(spark, sf_dir) -> DataFrame:
+    """supplier as audited rows; created and updated when it first shipped."""
+    first = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("id"))
+        .agg(F.min("l_shipdate").alias("created_at"))
+    )
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.when(F.col("s_acctbal") < 5000, "view").otherwise("click").alias("status"),
+    )
+    return s.join(first, "id").withColumn("updated_at", F.col("created_at"))
+
+
+def projects(spark, sf_dir) -> DataFrame:
+    """documents as project forms: the scenario follows the language, the fleet the label."""
+    scenario = (
+        F.when(F.col("lang") == "en", fv.SCENARIOS[0])
+        .when(F.col("lang") == "de", fv.SCENARIOS[1])
+        .when(F.col("lang") == "fr", fv.SCENARIOS[2])
+        .otherwise(F.col("lang"))
+    )
+    fleet_size = F.when(F.col("toxic") == 1, F.lit("many")).otherwise(
+        F.col("quality").cast("string")
+    )
+    return labelled_documents(spark, sf_dir).select(
+        F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("name"),
+        F.col("source").alias("company"),
+        scenario.alias("scenario"),
+        fleet_size.alias("fleet_size"),
+        F.col("text").alias("description"),
+    )
