@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reshuffled(df: DataFrame, *keys: str) -> DataFrame:
-    """Put a shuffle right below the coming join.
+def join_aggregated(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with an aggregate of them on ``key``, safe for hot keys.
 
-    Adaptive skew splitting looks for a shuffle directly under each join side.
-    An aggregate in between hides it, so a small aggregated side is shuffled
-    once more to let the other, hot side be split.
+    Adaptive execution splits a hot key only where a shuffle sits directly below
+    each join side. An aggregate is already shuffled by its key and would join as
+    it is; a hash of the key as second join column asks for a shuffle of its own,
+    which moves no more than the aggregated rows.
     """
-    return df.repartition(*keys)
+    check = {"_check": F.xxhash64(key)}
+    return many.withColumns(check).join(one.withColumns(check), [key, "_check"]).drop("_check")
 
 
 def request_with_files(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,9 +49,7 @@ def file_pages(files: DataFrame, page_size: int, *columns: str) -> DataFrame:
 def request_file_lists(requests: DataFrame, files: DataFrame, page_size: int = 1000) -> DataFrame:
     """Requests with nested file pages; a request without files has one empty page."""
     pages = file_pages(files, page_size, "file_type", "original_name", "file_size")
-    filled = reshuffled(pages, "request_id").join(
-        requests.withColumnRenamed("id", "request_id"), "request_id"
-    )
+    filled = pages.join(requests.withColumnRenamed("id", "request_id"), "request_id")
     empty = (
         requests.withColumnRenamed("id", "request_id")
         .join(files.select("request_id"), "request_id", "left_anti")
@@ -92,5 +92,5 @@ def path_collisions(files: DataFrame) -> DataFrame:
     The last writer per path is an aggregate, combined before the shuffle, so a
     path with very many writers is never sorted in one task.
     """
-    collided = reshuffled(colliding_paths(files), "file_path")
-    return files.join(collided, "file_path").filter(F.col("id") < F.col("kept_id"))
+    collided = colliding_paths(files)
+    return join_aggregated(files, collided, "file_path").filter(F.col("id") < F.col("kept_id"))
