@@ -37,12 +37,23 @@ def check_submissions(submissions: DataFrame) -> DataFrame:
     return submissions.withColumn(REASONS, rule_reasons(schemas.SUBMISSION, _FORM_TEXT))
 
 
+def each_once(submissions: DataFrame) -> DataFrame:
+    """One row per submission, where landing delivered some of them more than once."""
+    return submissions.dropDuplicates(["submission_id"])
+
+
 def request_rows(valid: DataFrame, now: datetime, start_id: int = 1) -> DataFrame:
-    """Request rows for valid submissions, still carrying their slots."""
-    numbered = dense_ids(valid, ["submission_id"], "id", start_id)
+    """Request rows for valid submissions, each once, still carrying their slots.
+
+    Ids are dealt out on the keys alone and then joined to the rows, so the wide
+    rows are shuffled once, for the join. Repeats are dropped behind the join,
+    where the rows of one key already lie together.
+    """
+    keys = each_once(valid.select("submission_id"))
+    ids = dense_ids(keys, ["submission_id"], "id", start_id)
     at = F.lit(now).cast("timestamp")
     return with_defaults(
-        numbered.withColumns(
+        each_once(valid.join(ids, "submission_id")).withColumns(
             {"status": F.lit(fv.DEFAULT_STATUS), "created_at": at, "updated_at": at}
         )
     )
@@ -137,7 +148,7 @@ def intake(
     requests = carried.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REQUESTS.fields])
     checked = check_files(form_file_rows(carried, now, start_file_id, run))
     files, bad_files = split_valid(checked)
-    return requests, files, rejected, bad_files
+    return requests, files, each_once(rejected), bad_files
 
 
 def check_files(files: DataFrame) -> DataFrame:

@@ -128,6 +128,8 @@ def quality_profile(
 
     All counts come from one pass; surplus rows of the columns in ``unique`` add
     one aggregate each. ``duplicates`` is 0 for the others, which promise nothing.
+    Text without a declared limit is compared by its SHA-256, so that long values
+    stay out of the shuffle.
     """
     limits = limits or {}
     zero = F.lit(0).cast("long")
@@ -150,7 +152,11 @@ def quality_profile(
     ]
     profile = df.agg(*counts).select(F.inline(F.array(*lines)))
     for c in unique:
-        surplus = unique_check(df, [c]).agg(F.sum(F.col("rows") - 1).alias("n"))
+        is_text = isinstance(df.schema[c].dataType, T.StringType)
+        value = F.sha2(c, 256) if is_text and c not in limits else F.col(c)
+        surplus = unique_check(df.select(value.alias(c)), [c]).agg(
+            F.sum(F.col("rows") - 1).alias("n")
+        )
         line = surplus.select(
             F.lit(c).alias("column"),
             *[zero.alias(n) for n in ("rows", "nulls", "empties", "over_length")],

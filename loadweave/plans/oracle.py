@@ -374,7 +374,7 @@ def all_sql() -> dict[str, str]:
 
     lines = [
         profile("doc_id", duplicates=surplus("doc_id"), text=False),
-        profile("text", longer("text", 500), surplus("text")),
+        profile("text", duplicates=surplus("text")),
         profile("lang"),
         profile("source", longer("source", 4)),
         profile("quality", text=False),

@@ -306,7 +306,7 @@ def type_check(spark, sf_dir) -> DataFrame:
 def quality_profile(spark, sf_dir) -> DataFrame:
     d = standins.labelled_documents(spark, sf_dir)
     columns = ["doc_id", "text", "lang", "source", "quality", "toxic"]
-    return quality.quality_profile(d, columns, {"text": 500, "source": 4}, ["doc_id", "text"])
+    return quality.quality_profile(d, columns, {"source": 4}, ["doc_id", "text"])
 
 
 @_register

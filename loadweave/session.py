@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,7 +57,10 @@ def pin(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder once and read them from there on.
 
     For rows that must not be computed twice: a second computation could place
-    them in other partitions or draw other random names.
+    them in other partitions or draw other random names. A parquet table, so that
+    later uses read the columns they need, and a lost executor costs no rows.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pinned-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

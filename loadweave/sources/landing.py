@@ -19,8 +19,12 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_submissions(df: DataFrame, column: Column | str) -> DataFrame:
-    """Submissions from a column of JSON texts."""
-    return df.select(F.from_json(column, schemas.SUBMISSION).alias("s")).select("s.*")
+    """Submissions from a column of JSON texts.
+
+    The parsed fields come out as a generated row. As plain fields of a parsed
+    struct they would be inlined into later filters, each of them parsing again.
+    """
+    return df.select(F.inline(F.array(F.from_json(column, schemas.SUBMISSION))))
 
 
 def parse_manifest(landed: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ FORMS = [
 
 def landed(spark, tmp_path):
     path = tmp_path / "forms.json"
-    path.write_text("\n".join(json.dumps(f) for f in FORMS), encoding="utf-8")
+    # one accepted and one rejected submission land twice
+    lines = [json.dumps(f) for f in [*FORMS, FORMS[0], FORMS[2]]]
+    path.write_text("\n".join(lines), encoding="utf-8")
     return landing.read_submissions(spark, str(path))
 
 
@@ -100,7 +102,9 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
 
 
 def test_slots_keep_order_and_empty_files(spark, tmp_path):
-    slots = intake.slot_unpivot(landed(spark, tmp_path).filter("submission_id = 'b'"), "submission_id")
+    slots = intake.slot_unpivot(
+        intake.each_once(landed(spark, tmp_path).filter("submission_id = 'b'")), "submission_id"
+    )
     assert [r[0] for r in slots.orderBy("position").select("file_type").collect()] == [
         "orders", "fleet", "drivers", "gps", "other", "other", "other", "other",
     ]
