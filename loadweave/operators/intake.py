@@ -142,7 +142,11 @@ def intake(
     start_file_id: int = 1,
     run: str = "",
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(requests, files, rejected submissions, rejected files) of one set of landed submissions."""
+    """(requests, files, rejected submissions, rejected files) of one set of landed submissions.
+
+    The submissions are read several times, in narrow columns: hand in a table,
+    not texts still to be parsed (``pin`` makes one).
+    """
     valid, rejected = split_valid(check_submissions(submissions))
     carried = request_rows(valid, now, start_request_id)
     requests = carried.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REQUESTS.fields])

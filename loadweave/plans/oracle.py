@@ -472,6 +472,7 @@ def all_sql() -> dict[str, str]:
 
     # streams, as their batch twins
     sql["latest_status_stream"] = _LATEST
+    sql["submission_stream"] = sql["request_file_append"]
     sql["intake_stream"] = """
         SELECT event_id AS id, user_id AS request_id, event_type AS file_type FROM events
         WHERE user_id IN (SELECT s_suppkey FROM supplier)

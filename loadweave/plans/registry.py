@@ -15,7 +15,7 @@ from loadweave.functions.ordered import dense_ids
 from loadweave.functions.times import utc_instant
 from loadweave.operators import allocation, change, intake, listing, quality, relations, reports
 from loadweave.plans import standins
-from loadweave.session import shared_folder
+from loadweave.session import pin, shared_folder
 from loadweave.sources import landing, tables
 from loadweave.streaming import feeds
 
@@ -82,7 +82,8 @@ def _submissions(spark, sf_dir):
 
 @_register
 def request_intake(spark, sf_dir) -> DataFrame:
-    valid, _ = quality.split_valid(intake.check_submissions(_submissions(spark, sf_dir)))
+    landed = pin(_submissions(spark, sf_dir))
+    valid, _ = quality.split_valid(intake.check_submissions(landed))
     rows = intake.request_rows(valid, NOW)
     return rows.select(
         "id",
@@ -125,7 +126,8 @@ def slot_filter(spark, sf_dir) -> DataFrame:
 
 @_register
 def request_file_append(spark, sf_dir) -> DataFrame:
-    _, files, _, _ = intake.intake(_submissions(spark, sf_dir), NOW, run=RUN)
+    landed = pin(_submissions(spark, sf_dir))
+    _, files, _, _ = intake.intake(landed, NOW, run=RUN)
     folder = _fresh_folder(spark, "request_files")
     tables.append_batch(files, folder, 0, ["file_type"])
     return tables.read_table(spark, folder).drop("batch", "created_at", "updated_at")
@@ -494,6 +496,23 @@ def latest_status_stream(spark, sf_dir) -> DataFrame:
     return feeds.read_latest_status(spark, f"{folder}/log")
 
 
+@_register
+def submission_stream(spark, sf_dir) -> DataFrame:
+    folder = _fresh_folder(spark, "submissions")
+    landed = feeds.with_landing_time(_stream(spark, sf_dir, "documents"))
+    labelled = landed.join(standins.table(spark, sf_dir, "labels"), "doc_id", "left")
+    texts = standins.as_submissions(labelled, "landed_at")
+    feeds.start_submissions(
+        landing.parse_submissions(texts, "value", "landed_at"),
+        lambda: NOW,
+        f"{folder}/tables",
+        f"{folder}/checkpoint",
+        run=RUN,
+    ).awaitTermination()
+    files = tables.read_table(spark, f"{folder}/tables/files")
+    return files.drop("batch", "created_at", "updated_at")
+
+
 @_register
 def intake_stream(spark, sf_dir) -> DataFrame:
     folder = _fresh_folder(spark, "intake")

@@ -101,12 +101,16 @@ def labelled_documents(spark, sf_dir) -> DataFrame:
 
 
 def submissions(spark, sf_dir) -> DataFrame:
-    """One form submission per document, as JSON text in column ``value``.
+    """One form submission per document, as JSON text in column ``value``."""
+    return as_submissions(labelled_documents(spark, sf_dir))
+
+
+def as_submissions(d: DataFrame, *keep: str) -> DataFrame:
+    """Labelled documents as submissions, next to the kept columns.
 
     Documents without a label lack a contact. Text and slots follow the label, so
     that empty, missing and repeated file names all occur.
     """
-    d = labelled_documents(spark, sf_dir)
     size = names.size_bytes("text")
 
     def file(name, wanted):
@@ -118,6 +122,7 @@ def submissions(spark, sf_dir) -> DataFrame:
     leaf = F.concat("lang", F.lit(".csv"))
     twice = file(leaf, F.lit(True))
     return d.select(
+        *keep,
         F.to_json(
             F.struct(
                 F.lpad(F.col("doc_id").cast("string"), 15, "0").alias("submission_id"),
@@ -133,7 +138,7 @@ def submissions(spark, sf_dir) -> DataFrame:
                 file(leaf, F.col("n_chars") > 500).alias("gps_file"),
                 F.when(F.col("toxic") == 1, F.array(twice, twice)).alias("other_files"),
             )
-        ).alias("value")
+        ).alias("value"),
     )
 
 

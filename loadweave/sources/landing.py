@@ -18,13 +18,13 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SUBMISSION).json(path)
 
 
-def parse_submissions(df: DataFrame, column: Column | str) -> DataFrame:
-    """Submissions from a column of JSON texts.
+def parse_submissions(df: DataFrame, column: Column | str, *keep: str) -> DataFrame:
+    """Submissions from a column of JSON texts, next to the kept columns.
 
     The parsed fields come out as a generated row. As plain fields of a parsed
     struct they would be inlined into later filters, each of them parsing again.
     """
-    return df.select(F.inline(F.array(F.from_json(column, schemas.SUBMISSION))))
+    return df.select(*keep, F.inline(F.array(F.from_json(column, schemas.SUBMISSION))))
 
 
 def parse_manifest(landed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ refresh interval; otherwise a stream takes what has landed and stops.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loadweave import fixed_values as fv
 from loadweave.functions import names
+from loadweave.operators.intake import intake, next_id
 from loadweave.sources.tables import append_batch
 
 
@@ -67,6 +69,57 @@ def read_latest_status(spark: SparkSession, folder: str) -> DataFrame:
     return last.withColumn("css_class", names.status_class("status"))
 
 
+def with_landing_time(feed: DataFrame) -> DataFrame:
+    """The rows of a file feed with the time their file landed, as ``landed_at``."""
+    return feed.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
+def start_submissions(
+    feed: DataFrame,
+    now: Callable[[], datetime],
+    folder: str,
+    checkpoint: str,
+    delay: str = "1 day",
+    run: str = "",
+    continuous: bool = False,
+) -> StreamingQuery:
+    """Turn landed submissions into requests, files and rejects, with the batch intake.
+
+    ``feed`` has the submission columns and ``landed_at``. A submission that lands
+    again within ``delay`` is dropped. Ids go on from the batches before, so a
+    repeated batch gets the ids it had.
+    """
+    once = feed.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["submission_id"])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # the intake reads its input several times: texts are parsed once, into a table
+        append_batch(batch, f"{folder}/landed", batch_id)
+        landed = spark.read.schema(batch.schema).parquet(f"{folder}/landed/batch={batch_id}")
+        requests, files, rejected, bad_files = intake(
+            landed.drop("landed_at"),
+            now(),
+            _next_id(spark, f"{folder}/requests", batch_id),
+            # files that fail a check have used up their ids as well
+            max(_next_id(spark, f"{folder}/{t}", batch_id) for t in ("files", "rejected_files")),
+            run,
+        )
+        append_batch(requests, f"{folder}/requests", batch_id, ["status"])
+        append_batch(files, f"{folder}/files", batch_id, ["file_type"])
+        append_batch(rejected, f"{folder}/rejected", batch_id)
+        append_batch(bad_files, f"{folder}/rejected_files", batch_id)
+
+    return _start(once, checkpoint, "append", handle, continuous)
+
+
+def _next_id(spark: SparkSession, table: str, batch_id: int) -> int:
+    """First free id of a table, looking at the batches before ``batch_id``."""
+    if batch_id == 0:
+        return 1
+    known = spark.read.schema("id bigint, batch int").parquet(table)
+    return next_id(known.filter(F.col("batch") < batch_id))
+
+
 def start_intake(
     files: DataFrame,
     load_requests: Callable[[], DataFrame],

@@ -1,7 +1,11 @@
+import json
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from tests.helpers import rows
 
 from loadweave.functions.times import utc_instant
+from loadweave import schemas
 from loadweave.operators import relations, reports
 from loadweave.plans import standins
 from loadweave.streaming import feeds
@@ -103,3 +107,34 @@ def test_landed_bytes_as_a_stream(spark, tmp_path):
         .awaitTermination()
     )
     assert rows(spark.read.parquet(out), "size") == [(5,)]
+
+
+def test_submissions_keep_ids_dense_over_batches(spark, tmp_path):
+    root, landing = str(tmp_path), tmp_path / "landing"
+    landing.mkdir()
+
+    def form(key, **extra):
+        slot = {"filename": "a.csv", "content_type": None, "size": 1}
+        base = {"submission_id": key, "company_name": "c", "contact_name": "c", "mobile": "1"}
+        return json.dumps({**base, "orders_file": slot, **extra})
+
+    bad_slot = {"filename": "x" * 250, "content_type": None, "size": 1}
+    batches = [
+        [form("a"), form("b", gps_file=bad_slot), form("bad", mobile="")],
+        [form("a"), form("c")],
+        [form("e"), form("d"), form("d")],
+    ]
+    for n, lines in enumerate(batches):
+        (landing / f"{n}.json").write_text("\n".join(lines))
+        feed = feeds.file_feed(spark, str(landing), schemas.SUBMISSION, "json")
+        feeds.start_submissions(
+            feeds.with_landing_time(feed), lambda: datetime(2026, 1, 1), f"{root}/t", f"{root}/cp"
+        ).awaitTermination()
+    requests = spark.read.parquet(f"{root}/t/requests")
+    # every run ends with a batch without data, which moves the watermark
+    assert rows(requests, "batch", "id") == [(0, 1), (0, 2), (2, 3), (4, 4), (4, 5)]
+    files = spark.read.parquet(f"{root}/t/files")
+    bad = spark.read.parquet(f"{root}/t/rejected_files")
+    assert sorted(rows(files, "id") + rows(bad, "id")) == [(i,) for i in range(1, 7)]
+    assert rows(relations.fk_orphans(files, requests)) == []
+    assert rows(spark.read.parquet(f"{root}/t/rejected"), "submission_id") == [("bad",)]
