@@ -233,11 +233,10 @@ def run_log(summary: DataFrame, digest: DataFrame, params: str = "") -> DataFram
     """One log row per run: run_id, status, message, params and the counts.
 
     Equal inputs and parameters give the same run_id, so a repeated run can be
-    recognised. Both inputs have one row.
+    recognised. Both inputs have one row; they are stacked and folded into one.
     """
-    both = summary.select(F.lit(0).alias("_one"), "*").join(
-        digest.select(F.lit(0).alias("_one"), "*"), "_one"
-    )
+    stacked = summary.unionByName(digest, allowMissingColumns=True)
+    both = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     seed = F.concat_ws("|", F.lit(params), "digest", "digest_sum", "input_rows")
     message = F.format_string(
         "%d orders allocated, %d left for review, %d of %d vehicles used",

@@ -38,24 +38,26 @@ def check_submissions(submissions: DataFrame) -> DataFrame:
 
 
 def each_once(submissions: DataFrame) -> DataFrame:
-    """One row per submission, where landing delivered some of them more than once."""
+    """One row per submission, where landing delivered some of them more than once.
+
+    Repeats are dropped before the shuffle as well as behind it.
+    """
     return submissions.dropDuplicates(["submission_id"])
 
 
 def request_rows(valid: DataFrame, now: datetime, start_id: int = 1) -> DataFrame:
     """Request rows for valid submissions, each once, still carrying their slots.
 
-    Ids are dealt out on the keys alone and then joined to the rows, so the wide
-    rows are shuffled once, for the join. Repeats are dropped behind the join,
-    where the rows of one key already lie together.
+    Ids are dealt out on the keys alone and then joined to the rows. Dropping
+    repeats has brought the wide rows together by key already, so the join does
+    not move them again, and by then no key is left that could be hot.
     """
-    keys = each_once(valid.select("submission_id"))
-    ids = dense_ids(keys, ["submission_id"], "id", start_id)
+    ids = dense_ids(each_once(valid.select("submission_id")), ["submission_id"], "id", start_id)
     at = F.lit(now).cast("timestamp")
     return with_defaults(
-        each_once(valid.join(ids, "submission_id")).withColumns(
-            {"status": F.lit(fv.DEFAULT_STATUS), "created_at": at, "updated_at": at}
-        )
+        each_once(valid)
+        .join(ids, "submission_id")
+        .withColumns({"status": F.lit(fv.DEFAULT_STATUS), "created_at": at, "updated_at": at})
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -49,9 +50,12 @@ def write_bucketed(
 ) -> None:
     """A catalogue table bucketed on ``key``, so joins on it need no shuffle.
 
-    For keys without hot values: a bucket is read by one task.
+    The write is split by bucket and then by ``sort``, so that a bucket with a hot
+    key is written by several tasks. It is still read by one task per bucket: use
+    the range layouts above for keys that may be hot.
     """
-    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*sort)
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
+    writer = df.repartitionByRange(bucket, *sort).write.bucketBy(buckets, key).sortBy(*sort)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
