@@ -67,8 +67,19 @@ def running_total(
 ) -> DataFrame:
     """Add ``name``: the total of the integer column ``value`` up to and with each row."""
     split = split_ranges(df, [*by, *order], ranges)
-    leads = range_offsets(split, by, value)
-    summed = _scan(split, leads, by, order, {name: lambda w: F.sum(value).over(w)})
+    return total_in_ranges(split, range_offsets(split, by, value), by, order, value, name)
+
+
+def total_in_ranges(
+    split: DataFrame,
+    offsets: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+) -> DataFrame:
+    """``running_total`` of rows already split, with the offsets of their ranges."""
+    summed = _scan(split, offsets, by, order, {name: lambda w: F.sum(value).over(w)})
     return summed.drop(RANGE, _LEAD)
 
 

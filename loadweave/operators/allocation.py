@@ -26,6 +26,7 @@ from loadweave.functions.ordered import (
     range_offsets,
     running_total,
     split_ranges,
+    total_in_ranges,
 )
 
 ZERO_LOAD = "zero_load"
@@ -70,25 +71,56 @@ def _vehicles_per_range(offsets: DataFrame, spans: DataFrame, ranges: int | None
     return passed.select("zone", F.col("seen_range").alias(RANGE), "vehicle").dropna()
 
 
-def allocate_orders(orders: DataFrame, fleet: DataFrame, ranges: int | None = None) -> DataFrame:
+def allocate_orders(
+    orders: DataFrame,
+    fleet: DataFrame,
+    ranges: int | None = None,
+    vehicles_per_range: int = 2_000_000,
+) -> DataFrame:
     """order_id, zone, order_ts, load, vehicle_id, reason: one row per order.
 
     ``vehicle_id`` is NULL where no vehicle was found and ``reason`` then says
-    why. Orders are split into ranges of the queue; each range learns the load
-    before it and its vehicles as extra rows, so one shuffle by (zone, range)
-    serves the running load and the match, and no zone has to fit into one task.
+    why. A missing or negative load counts as 0. Orders are split into ranges of
+    the queue, so no zone has to fit into one task. Where no range meets more than
+    ``vehicles_per_range`` vehicles, which one number tells, the match runs inside
+    the ranges; otherwise orders and vehicles are split anew by place.
     """
+    load = F.greatest(F.coalesce("load", F.lit(0)), F.lit(0)).cast("long")
     queue = split_ranges(
-        orders.select(
-            "zone", "order_ts", "order_id", F.coalesce("load", F.lit(0)).cast("long").alias("load")
-        ),
+        orders.select("zone", "order_ts", "order_id", load.alias("load")),
         ["zone", "order_ts", "order_id"],
         ranges,
     )
     offsets = range_offsets(queue, ["zone"], "load")
     spans = vehicle_spans(fleet, ranges)
     vehicles = _vehicles_per_range(offsets, spans, ranges)
+    crowd = vehicles.groupBy("zone", RANGE).count().agg(F.max("count").alias("n")).first()["n"]
+    if (crowd or 0) <= vehicles_per_range:
+        matched = _match_in_ranges(queue, offsets, vehicles)
+    else:
+        matched = _match_by_place(queue, offsets, spans, ranges)
+    reason = (
+        F.when(F.col("load") == 0, ZERO_LOAD)
+        .when(F.col("open").isNull(), NO_FLEET)
+        .when(F.col("at") >= F.col("open.vhi"), FLEET_FULL)
+        .when(F.col("at") + F.col("load") > F.col("open.vhi"), STRADDLES)
+    )
+    return matched.withColumn("reason", reason).select(
+        "order_id",
+        "zone",
+        "order_ts",
+        "load",
+        F.when(F.col("reason").isNull(), F.col("open.vehicle_id")).alias("vehicle_id"),
+        "reason",
+    )
+
+
+def _match_in_ranges(queue: DataFrame, offsets: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Orders with place ``at`` and the vehicle ``open`` there, in one shuffle.
 
+    Each range gets the load before it as its first row and its vehicles as extra
+    rows, so the shuffle by (zone, range) serves the running load and the match.
+    """
     lead, order, vehicle = F.lit(0), F.lit(1), F.lit(2)
     rows = (
         queue.withColumn("kind", order)
@@ -102,31 +134,35 @@ def allocate_orders(orders: DataFrame, fleet: DataFrame, ranges: int | None = No
     so_far = (Window.unboundedPreceding, Window.currentRow)
     in_queue = per_range.orderBy("kind", "order_ts", "order_id").rowsBetween(*so_far)
     by_place = per_range.orderBy("at", F.desc("kind")).rowsBetween(*so_far)
-    matched = (
-        rows.withColumn("hi", F.sum("load").over(in_queue))
-        .withColumn(
-            "at",
-            F.when(F.col("kind") == vehicle, F.col("vehicle.vlo")).otherwise(
-                F.col("hi") - F.col("load")
-            ),
-        )
+    lo = F.sum("load").over(in_queue) - F.col("load")
+    return (
+        rows.withColumn("lo", lo)
+        .withColumn("at", F.when(F.col("kind") == vehicle, F.col("vehicle.vlo")).otherwise(F.col("lo")))
         .withColumn("open", F.last("vehicle", ignorenulls=True).over(by_place))
         .filter(F.col("kind") == order)
     )
-    reason = (
-        F.when(F.col("load") == 0, ZERO_LOAD)
-        .when(F.col("open").isNull(), NO_FLEET)
-        .when(F.col("at") >= F.col("open.vhi"), FLEET_FULL)
-        .when(F.col("hi") > F.col("open.vhi"), STRADDLES)
-    )
-    return matched.withColumn("reason", reason).select(
-        "order_id",
+
+
+def _match_by_place(
+    queue: DataFrame, offsets: DataFrame, spans: DataFrame, ranges: int | None
+) -> DataFrame:
+    """The same for ranges crowded with vehicles: orders and vehicles split by place."""
+    placed = total_in_ranges(queue, offsets, ["zone"], ["order_ts", "order_id"], "load", "hi")
+    marks = placed.select(
         "zone",
+        (F.col("hi") - F.col("load")).alias("at"),
+        F.lit(1).alias("kind"),
         "order_ts",
+        "order_id",
         "load",
-        F.when(F.col("reason").isNull(), F.col("open.vehicle_id")).alias("vehicle_id"),
-        "reason",
+    ).unionByName(
+        spans.select(
+            "zone", F.col("vehicle.vlo").alias("at"), F.lit(0).alias("kind"), F.col("vehicle").alias("open")
+        ),
+        allowMissingColumns=True,
     )
+    order = ["at", "kind", "order_ts", "order_id"]
+    return carry_forward(marks, ["zone"], order, ["open"], ranges).filter("kind = 1")
 
 
 def manual_review(allocation: DataFrame) -> DataFrame:

@@ -73,6 +73,16 @@ def append_batch(df: DataFrame, path: str, batch_id: int | str, by: Sequence[str
     writer.parquet(f"{path}/batch={batch_id}")
 
 
+def append_run(log: DataFrame, path: str) -> None:
+    """Add a run to the run log; repeating a run replaces its entry."""
+    (
+        log.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .parquet(path)
+    )
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

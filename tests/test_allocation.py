@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.helpers import plan, rows
 
 from loadweave.operators import allocation as al
+from loadweave.sources.tables import append_run
 
 DAY = datetime(2024, 1, 1)
 ORDERS = "zone int, order_id long, order_ts timestamp_ntz, load long"
@@ -52,15 +53,16 @@ def made_up(seed, n=700, vehicles=60, top_load=30):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("ranges", [None, 1, 11])
-def test_matches_brute_force(spark, seed, ranges):
+@pytest.mark.parametrize("ranges, crowd", [(None, 100), (1, 100), (11, 100), (None, 0), (11, 0)])
+def test_matches_brute_force(spark, seed, ranges, crowd):
     orders, fleet = made_up(seed)
     got = al.allocate_orders(
-        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), ranges
+        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), ranges, crowd
     )
     assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
 
 
+@pytest.mark.parametrize("crowd", [1000, 0])
 @pytest.mark.parametrize(
     "orders, fleet",
     [
@@ -75,18 +77,20 @@ def test_matches_brute_force(spark, seed, ranges):
         ([(1, i, DAY, 5) for i in range(40)], [(1, v, 5) for v in range(39)]),
     ],
 )
-def test_edges_match_brute_force(spark, orders, fleet):
+def test_edges_match_brute_force(spark, orders, fleet, crowd):
     got = al.allocate_orders(
-        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 5
+        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 5, crowd
     )
     assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
 
 
 def test_orders_without_zone_or_load_are_left_for_review(spark):
-    orders = spark.createDataFrame([(None, 1, DAY, 5), (1, 2, DAY, None)], ORDERS)
+    orders = spark.createDataFrame(
+        [(None, 1, DAY, 5), (1, 2, DAY, None), (1, 3, DAY, -7)], ORDERS
+    )
     fleet = spark.createDataFrame([(None, 1, 50), (1, 2, 50)], FLEET)
     got = rows(al.manual_review(al.allocate_orders(orders, fleet)), "order_id", "reason")
-    assert got == [(1, al.NO_FLEET), (2, al.ZERO_LOAD)]
+    assert got == [(1, al.NO_FLEET), (2, al.ZERO_LOAD), (3, al.ZERO_LOAD)]
 
 
 def test_summary_invariants(spark):
@@ -111,13 +115,15 @@ def test_empty_run_has_a_summary(spark):
     assert tuple(al.run_summary(al.allocate_orders(o, f), f).first()) == (0, 0, 0, 0, 0)
 
 
-def test_run_id_depends_on_the_rows_not_on_their_order(spark):
+def test_run_id_depends_on_the_rows_not_on_their_order(spark, tmp_path):
     orders, fleet = made_up(4, 60, 10)
 
     def run_id(order_rows, params=""):
         o, f = spark.createDataFrame(order_rows, ORDERS), spark.createDataFrame(fleet, FLEET)
         summary = al.run_summary(al.allocate_orders(o, f), f)
-        row = al.run_log(summary, al.input_digest(o, f), params).first()
+        log = al.run_log(summary, al.input_digest(o, f), params)
+        append_run(log, str(tmp_path))
+        row = log.first()
         assert row["status"] == "success"
         return row["run_id"]
 
@@ -125,6 +131,8 @@ def test_run_id_depends_on_the_rows_not_on_their_order(spark):
     assert same == run_id(list(reversed(orders)))
     assert same != run_id(orders[1:])
     assert same != run_id(orders, "other")
+    # the repeated run has one entry
+    assert spark.read.parquet(str(tmp_path)).count() == 3
 
 
 def test_unassigned(spark):

@@ -1,7 +1,8 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
-from tests.helpers import plan, rows
+from tests.helpers import plan, rows, settings
 
 from loadweave import schemas
 from loadweave.operators import change
@@ -51,7 +52,13 @@ def test_latest_change_wins(spark):
     assert rows(change.latest_changes(df, "id", "seq")) == [(1, "b")]
 
 
-def test_up_and_down_is_the_identity(spark):
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_up_and_down_is_the_identity(spark, zone):
+    with settings(spark, spark__sql__session__timeZone=zone):
+        up_and_down(spark)
+
+
+def up_and_down(spark):
     old = spark.createDataFrame(
         [(1, "S", datetime(2024, 3, 31, 2, 30, 0, 123456)), (2, "S", datetime(1969, 12, 31, 23, 59, 59))],
         "id long, status string, created_at timestamp_ntz",
