@@ -44,16 +44,17 @@ def range_offsets(ranges: DataFrame, by: Sequence[str], value: str) -> DataFrame
     return totals.select(*by, RANGE, F.coalesce(before, F.lit(0).cast("long")).alias(value))
 
 
+def _so_far(by, order):
+    window = Window.partitionBy(*by).orderBy(*order)
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def _scan(ranges, leads, by, order, computed):
     """Window over each range with its lead row in front, lead rows removed after."""
     rows = ranges.withColumn(_LEAD, F.lit(False)).unionByName(
         leads.withColumn(_LEAD, F.lit(True)), allowMissingColumns=True
     )
-    window = (
-        Window.partitionBy(*by, RANGE)
-        .orderBy(F.desc(_LEAD), *order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    window = _so_far([*by, RANGE], [F.desc(_LEAD), *order])
     return rows.withColumns({n: make(window) for n, make in computed.items()}).filter(~F.col(_LEAD))
 
 
@@ -64,8 +65,14 @@ def running_total(
     value: str,
     name: str,
     ranges: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Add ``name``: the total of the integer column ``value`` up to and with each row."""
+    """Add ``name``: the total of the integer column ``value`` up to and with each row.
+
+    ``whole`` keeps each group in one task: for rows whose number was checked.
+    """
+    if whole:
+        return df.withColumn(name, F.sum(value).over(_so_far(by, order)))
     split = split_ranges(df, [*by, *order], ranges)
     return total_in_ranges(split, range_offsets(split, by, value), by, order, value, name)
 
@@ -89,8 +96,15 @@ def carry_forward(
     order: Sequence[str],
     columns: Sequence[str],
     ranges: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Replace each of ``columns`` by its last non-null value up to and with each row."""
+    """Replace each of ``columns`` by its last non-null value up to and with each row.
+
+    ``whole`` keeps each group in one task: for rows whose number was checked.
+    """
+    if whole:
+        window = _so_far(by, order)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
     split = split_ranges(df, [*by, *order], ranges)
     at = F.struct(*order)
     ends = split.groupBy(*by, RANGE).agg(

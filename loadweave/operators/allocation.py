@@ -35,12 +35,14 @@ FLEET_FULL = "fleet_full"
 STRADDLES = "straddles_vehicles"
 
 
-def vehicle_spans(fleet: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Fleet rows with the capacity interval [vlo, vhi) of each vehicle."""
+def vehicle_spans(
+    fleet: DataFrame, ranges: int | None = None, whole: bool = False
+) -> DataFrame:
+    """zone, vehicle: each vehicle with its capacity interval [vlo, vhi)."""
     usable = fleet.filter(F.col("zone").isNotNull() & (F.col("capacity") > 0)).select(
         "zone", "vehicle_id", F.col("capacity").cast("long").alias("capacity")
     )
-    summed = running_total(usable, ["zone"], ["vehicle_id"], "capacity", "vhi", ranges)
+    summed = running_total(usable, ["zone"], ["vehicle_id"], "capacity", "vhi", ranges, whole)
     return summed.select(
         "zone",
         F.struct(
@@ -49,7 +51,9 @@ def vehicle_spans(fleet: DataFrame, ranges: int | None = None) -> DataFrame:
     )
 
 
-def _vehicles_per_range(offsets: DataFrame, spans: DataFrame, ranges: int | None) -> DataFrame:
+def _vehicles_per_range(
+    offsets: DataFrame, spans: DataFrame, ranges: int | None, whole: bool
+) -> DataFrame:
     """For each range of orders, the vehicles its orders can meet.
 
     These are the vehicle that is open where the range starts and the vehicles
@@ -65,7 +69,7 @@ def _vehicles_per_range(offsets: DataFrame, spans: DataFrame, ranges: int | None
     )
     marks = range_starts.unionByName(vehicle_starts, allowMissingColumns=True)
     # a vehicle that starts with a range sorts before it and is open there
-    passed = carry_forward(marks, ["zone"], ["at", "tie"], ["seen_range", "vehicle"], ranges)
+    passed = carry_forward(marks, ["zone"], ["at", "tie"], ["seen_range", "vehicle"], ranges, whole)
     # on range rows seen_range is the range itself, on vehicle rows the one before;
     # vehicle likewise: each row is one (range, vehicle) pair unless a side is missing
     return passed.select("zone", F.col("seen_range").alias(RANGE), "vehicle").dropna()
@@ -75,15 +79,16 @@ def allocate_orders(
     orders: DataFrame,
     fleet: DataFrame,
     ranges: int | None = None,
-    vehicles_per_range: int = 2_000_000,
+    vehicle_limit: int = 1_000_000,
 ) -> DataFrame:
     """order_id, zone, order_ts, load, vehicle_id, reason: one row per order.
 
     ``vehicle_id`` is NULL where no vehicle was found and ``reason`` then says
     why. A missing or negative load counts as 0. Orders are split into ranges of
-    the queue, so no zone has to fit into one task. Where no range meets more than
-    ``vehicles_per_range`` vehicles, which one number tells, the match runs inside
-    the ranges; otherwise orders and vehicles are split anew by place.
+    the queue, so no zone has to fit into one task. The vehicles are few beside
+    them: up to ``vehicle_limit``, a zone's vehicles are lined up in one task. A
+    larger fleet is split like the orders, and where even one range of orders meets
+    more vehicles than that, orders and vehicles are split anew by place.
     """
     load = F.greatest(F.coalesce("load", F.lit(0)), F.lit(0)).cast("long")
     queue = split_ranges(
@@ -91,11 +96,11 @@ def allocate_orders(
         ["zone", "order_ts", "order_id"],
         ranges,
     )
+    few = fleet.count() <= vehicle_limit
     offsets = range_offsets(queue, ["zone"], "load")
-    spans = vehicle_spans(fleet, ranges)
-    vehicles = _vehicles_per_range(offsets, spans, ranges)
-    crowd = vehicles.groupBy("zone", RANGE).count().agg(F.max("count").alias("n")).first()["n"]
-    if (crowd or 0) <= vehicles_per_range:
+    spans = vehicle_spans(fleet, ranges, few)
+    vehicles = _vehicles_per_range(offsets, spans, ranges, few)
+    if few or _most_per_range(vehicles) <= vehicle_limit:
         matched = _match_in_ranges(queue, offsets, vehicles)
     else:
         matched = _match_by_place(queue, offsets, spans, ranges)
@@ -115,6 +120,11 @@ def allocate_orders(
     )
 
 
+def _most_per_range(vehicles: DataFrame) -> int:
+    counts = vehicles.groupBy("zone", RANGE).count()
+    return counts.agg(F.coalesce(F.max("count"), F.lit(0).cast("long")).alias("n")).first()["n"]
+
+
 def _match_in_ranges(queue: DataFrame, offsets: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Orders with place ``at`` and the vehicle ``open`` there, in one shuffle.
 
@@ -173,8 +183,11 @@ def manual_review(allocation: DataFrame) -> DataFrame:
 
 
 def unassigned(orders: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Orders that have no recorded assignment."""
-    return orders.join(assignments.select("order_id"), "order_id", "left_anti")
+    """Orders that have no recorded assignment.
+
+    An order may have very many assignments; they are reduced before the shuffle.
+    """
+    return orders.join(assignments.select("order_id").distinct(), "order_id", "left_anti")
 
 
 def load_by_vehicle(allocation: DataFrame, fleet: DataFrame) -> DataFrame:

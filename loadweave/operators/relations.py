@@ -2,7 +2,8 @@
 
 One request, or one path, may own a large share of all files. Joins here keep
 the side that can be hot on the left of an inner, semi or anti join with plain
-shuffles on both sides, which is the shape adaptive execution can split.
+shuffles on both sides, which is the shape adaptive execution can split. Where
+only the keys of that side matter, they are reduced before the shuffle instead.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def request_file_lists(requests: DataFrame, files: DataFrame, page_size: int = 1
     filled = pages.join(requests.withColumnRenamed("id", "request_id"), "request_id")
     empty = (
         requests.withColumnRenamed("id", "request_id")
-        .join(files.select("request_id"), "request_id", "left_anti")
+        .join(files.select("request_id").distinct(), "request_id", "left_anti")
         .withColumns({"page": F.lit(0).cast("long"), "files": F.array().cast(pages.schema["files"].dataType)})
     )
     return filled.unionByName(empty)

@@ -38,19 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     master is local; on a cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if named:
-        if current is None:
-            context.setCheckpointDir(named)
         return named
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="loadweave-")
-    context.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loadweave-"))
+    return context.getCheckpointDir()
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -96,6 +96,8 @@ def start_submissions(
         # the intake reads its input several times: texts are parsed once, into a table
         append_batch(batch, f"{folder}/landed", batch_id)
         landed = spark.read.schema(batch.schema).parquet(f"{folder}/landed/batch={batch_id}")
+        if batch_id > 0 and landed.isEmpty():
+            return
         requests, files, rejected, bad_files = intake(
             landed.drop("landed_at"),
             now(),

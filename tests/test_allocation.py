@@ -53,16 +53,17 @@ def made_up(seed, n=700, vehicles=60, top_load=30):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("ranges, crowd", [(None, 100), (1, 100), (11, 100), (None, 0), (11, 0)])
-def test_matches_brute_force(spark, seed, ranges, crowd):
+@pytest.mark.parametrize("ranges, limit", [(None, 100), (1, 100), (11, 100), (11, 50), (None, 0), (11, 0)])
+def test_matches_brute_force(spark, seed, ranges, limit):
+    # 60 vehicles: in one task per zone, split like the orders, split by place
     orders, fleet = made_up(seed)
     got = al.allocate_orders(
-        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), ranges, crowd
+        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), ranges, limit
     )
     assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
 
 
-@pytest.mark.parametrize("crowd", [1000, 0])
+@pytest.mark.parametrize("limit", [1000, 0])
 @pytest.mark.parametrize(
     "orders, fleet",
     [
@@ -77,9 +78,9 @@ def test_matches_brute_force(spark, seed, ranges, crowd):
         ([(1, i, DAY, 5) for i in range(40)], [(1, v, 5) for v in range(39)]),
     ],
 )
-def test_edges_match_brute_force(spark, orders, fleet, crowd):
+def test_edges_match_brute_force(spark, orders, fleet, limit):
     got = al.allocate_orders(
-        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 5, crowd
+        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 5, limit
     )
     assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
 
@@ -145,7 +146,7 @@ def test_plan_has_one_shuffle_of_the_orders_and_no_pair_join(spark):
     a = al.allocate_orders(spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET))
     text = plan(a)
     assert "Cartesian" not in text and "NestedLoop" not in text and "Join" not in text
-    # the match itself sits on one exchange; the others are below it, on summaries and vehicles
+    # the match itself sits on one exchange, the others below it take summaries and vehicles
     top = text[: text.index("Union")]
     assert top.count("Exchange") == 1
     assert "hashpartitioning(zone" in top and "_range" in top

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.helpers import plan, rows, settings
 
+from loadweave.operators import quality
 from loadweave.sources import jdbc, landing, tables
 
 HEX = "0123456789abcdef" * 2
@@ -39,6 +40,30 @@ def test_listing_keeps_empty_files(spark, uploads):
     )
 
 
+def test_listing_reconciles_with_the_catalogue(spark, uploads):
+    files = spark.createDataFrame(
+        [
+            (1, "uploads/1/1_orders_سفارش ها.csv", 3),
+            (2, "uploads/1/1_gps_50%.gpx", 1),
+            (3, f"uploads/2/{HEX}.csv", 2),
+            (4, "uploads/9/9_gps_gone.gpx", 2),
+        ],
+        "id long, file_path string, file_size long",
+    )
+    ids = spark.range(10)
+    found = quality.storage_reconcile(landing.list_folders(ids, uploads), files)
+    assert rows(found, "path", "class") == sorted(
+        [
+            ("uploads/1/1_orders_سفارش ها.csv", "ok"),
+            ("uploads/1/1_gps_50%.gpx", "size_mismatch"),
+            (f"uploads/2/{HEX}.csv", "ok"),
+            ("uploads/3/.keep", "bytes_without_row"),
+            ("uploads/9/9_gps_gone.gpx", "row_without_bytes"),
+        ],
+        key=repr,
+    )
+
+
 def test_binary_files_read_no_content(spark, uploads):
     found = landing.binary_files(spark, uploads)
     assert "content" not in plan(found)
