@@ -22,11 +22,6 @@ def file_suffix(name: Column | str) -> Column:
     return F.regexp_extract(_col(name), r"^.+(\.[^.]+)$", 1)
 
 
-def is_plain_name(name: Column | str) -> Column:
-    """True where the name carries no path separator."""
-    return ~_col(name).rlike(r"[/\\]")
-
-
 def size_bytes(content: Column | str) -> Column:
     """Length in bytes, not in characters."""
     return F.octet_length(_col(content)).cast("long")

@@ -8,8 +8,6 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave import fixed_values as fv
-from loadweave import schemas
 from loadweave.functions import names
 from loadweave.functions.ordered import dense_ids
 from loadweave.functions.times import utc_instant

@@ -145,7 +145,7 @@ def as_submissions(d: DataFrame, *keep: str) -> DataFrame:
 def landed_documents(spark, sf_dir) -> DataFrame:
     """documents as files on disk: path and size; the layout follows the language."""
     kind = F.element_at(
-        F.array(*[F.lit(t) for t in ("orders", "fleet", "drivers", "gps", "other")]),
+        F.array(*[F.lit(t) for t in fv.FILE_TYPES]),
         (F.col("doc_id") % 5 + 1).cast("int"),
     )
     leaf = F.concat("lang", F.lit(" 1%.txt"))
