@@ -43,8 +43,9 @@ def rule_reasons(
 
     for name in wanted:
         meta = schema[name].metadata
+        is_text = isinstance(schema[name].dataType, T.StringType)
         if meta.get("required"):
-            note(name, "required", is_missing(name))
+            note(name, "required", is_missing(name) if is_text else F.col(name).isNull())
         if "max_chars" in meta:
             note(name, "length", F.char_length(name) > meta["max_chars"])
         if "domain" in meta:
@@ -134,9 +135,11 @@ def quality_profile(
     limits = limits or {}
     zero = F.lit(0).cast("long")
     counts = [F.count("*").alias("_rows")]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     for c in columns:
+        empty = F.col(c) == "" if c in texts else F.lit(False)
         counts.append(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls"))
-        counts.append(F.count_if(F.col(c).cast("string") == "").alias(f"{c}_empties"))
+        counts.append(F.count_if(empty).alias(f"{c}_empties"))
         over = F.char_length(c) > limits[c] if c in limits else F.lit(False)
         counts.append(F.count_if(over).alias(f"{c}_over"))
     lines = [
@@ -152,8 +155,7 @@ def quality_profile(
     ]
     profile = df.agg(*counts).select(F.inline(F.array(*lines)))
     for c in unique:
-        is_text = isinstance(df.schema[c].dataType, T.StringType)
-        value = F.sha2(c, 256) if is_text and c not in limits else F.col(c)
+        value = F.sha2(c, 256) if c in texts and c not in limits else F.col(c)
         surplus = unique_check(df.select(value.alias(c)), [c]).agg(
             F.sum(F.col("rows") - 1).alias("n")
         )

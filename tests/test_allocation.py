@@ -94,6 +94,21 @@ def test_orders_without_zone_or_load_are_left_for_review(spark):
     assert got == [(1, al.NO_FLEET), (2, al.ZERO_LOAD), (3, al.ZERO_LOAD)]
 
 
+def test_keys_may_be_text(spark):
+    orders, fleet = made_up(7, 200, 20)
+
+    def text(zone, key):
+        return f"z{zone}", f"{key:05d}"
+
+    orders = [(*text(z, i), t, load) for z, i, t, load in orders]
+    fleet = [(*text(z, v), c) for z, v, c in fleet]
+    o = spark.createDataFrame(orders, "zone string, order_id string, order_ts timestamp_ntz, load int")
+    f = spark.createDataFrame(fleet, "zone string, vehicle_id string, capacity int")
+    for limit in (100, 0):
+        got = al.allocate_orders(o, f, 4, limit)
+        assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
+
+
 def test_summary_invariants(spark):
     orders, fleet = made_up(5)
     o, f = spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET)

@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from tests.helpers import rows
+from tests.helpers import plan, rows
 
 from loadweave import schemas
 from loadweave.operators import intake, quality, relations
@@ -89,6 +89,20 @@ def test_a_retry_gives_the_same_rows(spark, tmp_path):
     assert run() == run()
 
 
+def test_copies_are_dropped_before_the_shuffle(spark):
+    # a third of the landed rows are copies of one submission
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("submission_id"),
+        *[F.lit("x").alias(c) for c in ("company_name", "contact_name", "mobile", "email", "industry")],
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("goal"),
+    )
+    requests = intake.request_rows(df, NOW)
+    before = plan(requests).split("Exchange hashpartitioning(submission_id", 1)[1]
+    assert "partial_first(" in before
+    assert requests.count() == 2001
+    assert rows(requests.agg(F.min("id"), F.max("id"), F.count_distinct("id"))) == [(1, 2001, 2001)]
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     table = str(tmp_path / "files")
     _, files, *_ = intake.intake(landed(spark, tmp_path), NOW)
