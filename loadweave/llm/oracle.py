@@ -2,7 +2,43 @@
 
 from __future__ import annotations
 
-_SQL = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAMINATION = rf"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, w[i:i + 9] AS phrase, least(10, len(w)) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM phrases),
+windows AS (
+  SELECT row, i, size, w[i:i + size - 1] AS phrase
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size)),
+hits AS (SELECT row, i, windows.size, item_id FROM windows JOIN phrases USING (phrase)),
+hit_words AS (
+  SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS p FROM hits) GROUP BY row),
+hit_items AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY row),
+marked AS (SELECT DISTINCT row, unnest(range(i, i + size)) AS p FROM hits),
+runs AS (
+  SELECT row, min(p) - 1 AS a, max(p) AS b
+  FROM (SELECT row, p, p - row_number() OVER (PARTITION BY row ORDER BY p) AS g FROM marked)
+  GROUP BY row, g),
+spans AS (SELECT row, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM runs GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated, coalesce(spans, '') AS spans
+FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row) LEFT JOIN spans USING (row)
+"""
+
+_SQL = {"op1_decontamination": _DECONTAMINATION}
 
 
 def all_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import sharding, simhash
+from loadweave.llm import decontamination, sharding, simhash
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -20,6 +20,12 @@ def all_queries() -> dict:
     return dict(_QUERIES)
 
 
+@_register
+def op1_decontamination(spark, sf_dir) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontamination.leaks(docs, benchmark, window=10)
+
+
 @_register
 def op3_simhash(spark, sf_dir) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
