@@ -38,7 +38,56 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row) LEFT JOIN spans USING (row)
 """
 
-_SQL = {"op1_decontamination": _DECONTAMINATION}
+_RULES = {
+    "symbols_to_words": ("n_symbols", "n_words"),
+    "repeated_words": ("n_repeat_words", "n_words"),
+    "repeated_lines": ("n_dup_lines", "n_lines"),
+}
+
+_QUALITY = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT row, i, w[i:i + 2] AS x FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) > 2)),
+again AS (SELECT row, x FROM windows GROUP BY row, x HAVING count(*) > 1),
+repeated AS (
+  SELECT row, count(DISTINCT p) AS n FROM (
+    SELECT row, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN again USING (row, x)) GROUP BY row),
+lined AS (
+  SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+m AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+  FROM texts JOIN lined USING (row) LEFT JOIN repeated USING (row)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+grid AS (SELECT unnest([10, 20, 50, 100, 150, 200, 250, 300, 400, 500, 650, 800, 1000, 1500, 2000]) AS cutoff),
+good AS (
+  SELECT * FROM based WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+counted AS ({" UNION ALL ".join(
+    f"SELECT lang, '{rule}' AS rule, cutoff, count(*) AS n, "
+    f"count(*) FILTER (1000 * {count} > cutoff * {per}) AS k FROM good, grid GROUP BY lang, cutoff"
+    for rule, (count, per) in _RULES.items())}),
+tested AS (
+  SELECT lang, rule, cutoff, k < n * 0.02 / 3 AND list_sum(list_transform(range(0, k + 1), lambda i:
+      exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
+        - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln(0.02 / 3) + (n - i) * ln(1 - 0.02 / 3))))
+    <= 0.05 / (SELECT count(*) FROM counted) AS safe
+  FROM counted),
+chosen AS (
+  SELECT lang, {", ".join(f"min(cutoff) FILTER (safe AND rule = '{r}') AS {r}" for r in _RULES)}
+  FROM tested GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+  NOT base_failed AND NOT ({" OR ".join(
+    f"coalesce(1000 * {count} > {per} * chosen.{rule}, false)" for rule, (count, per) in _RULES.items())}) AS kept
+FROM based LEFT JOIN chosen ON based.lang IS NOT DISTINCT FROM chosen.lang
+"""
+
+_SQL = {"op1_decontamination": _DECONTAMINATION, "op6_quality_rules": _QUALITY}
 
 
 def all_sql() -> dict[str, str]:
