@@ -87,7 +87,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM based LEFT JOIN chosen ON based.lang IS NOT DISTINCT FROM chosen.lang
 """
 
-_SQL = {"op1_decontamination": _DECONTAMINATION, "op6_quality_rules": _QUALITY}
+_LINES = r"""
+WITH lines AS (
+  SELECT row, doc_id, source, pos, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_
+  FROM (SELECT row, doc_id, source, unnest(range(len(l))) AS pos, unnest(l) AS line
+    FROM (SELECT row_number() OVER () AS row, doc_id, source, string_split(text, chr(10)) AS l FROM documents))),
+spread AS (
+  SELECT line FROM lines WHERE full_ GROUP BY line HAVING count(DISTINCT source) >= 5),
+first_ AS (
+  SELECT line, doc_id AS f_id, pos AS f_pos FROM lines SEMI JOIN spread USING (line)
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, pos) = 1),
+judged AS (
+  SELECT row, doc_id, pos, lines.line, full_,
+    f_pos IS NOT NULL AND NOT (doc_id IS NOT DISTINCT FROM f_id AND pos = f_pos) AS gone
+  FROM lines LEFT JOIN first_ ON full_ AND lines.line = first_.line),
+cleaned AS (
+  SELECT row, count(*) FILTER (full_) AS n, count(*) FILTER (gone) AS g,
+    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS t
+  FROM judged GROUP BY row)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed,
+  sha256(coalesce(t, '')) AS text_sha256
+FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN cleaned USING (row)
+"""
+
+_SQL = {
+    "op1_decontamination": _DECONTAMINATION,
+    "op4_line_dedup": _LINES,
+    "op6_quality_rules": _QUALITY,
+}
 
 
 def all_sql() -> dict[str, str]:

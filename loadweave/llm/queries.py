@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import decontamination, quality_rules, sharding, simhash
+from loadweave.llm import decontamination, line_dedup, quality_rules, sharding, simhash
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -31,6 +31,11 @@ def op3_simhash(spark, sf_dir) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+@_register
+def op4_line_dedup(spark, sf_dir) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), "source", min_sites=5)
+
+
 @_register
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
