@@ -110,8 +110,42 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_re
 FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN cleaned USING (row)
 """
 
+_SECRET_RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("forge_token", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+
+_SECRETS = f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+pieces AS ({" UNION ALL ".join(
+    f"SELECT row, {n} AS o, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{pattern}') AS p, "
+    f"regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS c FROM texts"
+    for n, (kind, pattern, group, least) in enumerate(_SECRET_RULES))}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM pieces WHERE len(m) > 0),
+spans AS (
+  SELECT row, o, kind,
+    list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a,
+    length(m[i]) AS size
+  FROM each WHERE length(c[i]) >= least),
+listed AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a::BIGINT || ':' || (a + size)::BIGINT, ',' ORDER BY a, o) FILTER (o < 3) AS base,
+    string_agg(kind || ':' || a::BIGINT || ':' || (a + size)::BIGINT, ',' ORDER BY a, o) AS spans
+  FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (row)
+"""
+
 _SQL = {
     "op1_decontamination": _DECONTAMINATION,
+    "op2_secret_scan": _SECRETS,
     "op4_line_dedup": _LINES,
     "op6_quality_rules": _QUALITY,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import decontamination, line_dedup, quality_rules, sharding, simhash
+from loadweave.llm import decontamination, line_dedup, quality_rules, secrets, sharding, simhash
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -26,6 +26,11 @@ def op1_decontamination(spark, sf_dir) -> DataFrame:
     return decontamination.leaks(docs, benchmark, window=10)
 
 
+@_register
+def op2_secret_scan(spark, sf_dir) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op3_simhash(spark, sf_dir) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
