@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import decontamination, line_dedup, quality_rules, secrets, sharding, simhash
+from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, secrets, sharding, simhash
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -60,3 +61,10 @@ def op7_sharding(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "row_number",
     )
+
+
+@_register
+def op8_byte_bpe(spark, sf_dir) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
