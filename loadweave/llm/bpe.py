@@ -37,7 +37,7 @@ _BUCKETS = 1 << 13
 _CACHED_WORDS = 1 << 20
 _NONE = (1 << 31) - 1
 # the White_Space code points, as \s means other ones in other libraries
-_SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
+_SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
