@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, secrets, sharding, simhash
+from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, secrets, sharding, simhash, token_files
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -42,6 +42,14 @@ def op4_line_dedup(spark, sf_dir) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), "source", min_sites=5)
 
 
+@_register
+def op5_token_files(spark, sf_dir) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.read_documents(
+        token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer)
+    )
+
+
 @_register
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
