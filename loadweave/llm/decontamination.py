@@ -71,7 +71,7 @@ def write_phrases(benchmark: DataFrame, window: int = WINDOW) -> list[str]:
         place = f"{folder}/{uuid4().hex}"
         found, path = filesystem(place)
         found.create_dir(path.rpartition("/")[0], recursive=True)
-        with found.open_output_stream(path) as out:
+        with found.open_output_stream(path, compression=None) as out:
             out.write(pickle.dumps(_block(items, window)))
         return pa.RecordBatch.from_pydict({"place": [place]})
 
@@ -103,7 +103,7 @@ class _Phrases:
         for place in self.places:
             if self.only is None or len(self.places) > 1:
                 found, path = filesystem(place)
-                with found.open_input_stream(path) as source:
+                with found.open_input_stream(path, compression=None) as source:
                     self.only = pickle.loads(source.read())
             yield self.only
 

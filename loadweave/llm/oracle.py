@@ -143,8 +143,19 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM texts LEFT JOIN listed USING (row)
 """
 
+_WARC = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first_ FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes < 100 OR page_id IS NOT DISTINCT FROM first_ THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_ THEN first_ END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)
+"""
+
 _SQL = {
     "op1_decontamination": _DECONTAMINATION,
+    "op10_warc": _WARC,
     "op2_secret_scan": _SECRETS,
     "op4_line_dedup": _LINES,
     "op6_quality_rules": _QUALITY,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, secrets, sharding, simhash, token_files
+from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, secrets, sharding, simhash, token_files, warc
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -76,3 +76,8 @@ def op8_byte_bpe(spark, sf_dir) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents")
     return bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+@_register
+def op10_warc(spark, sf_dir) -> DataFrame:
+    return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))

@@ -93,7 +93,7 @@ def write_tokens(
         place = f"{folder}/part-{part:06d}-{uuid4().hex}.planes"
         found, path = filesystem(place)
         found.create_dir(path.rpartition("/")[0], recursive=True)
-        with found.open_output_stream(path) as out:
+        with found.open_output_stream(path, compression=None) as out:
             writer = planes.Writer(out, kind)
             for batch in chain([first], batches):
                 ids = batch.column("doc_id").to_pylist()
