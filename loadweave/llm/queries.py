@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, secrets, sharding, simhash, token_files, warc
+from loadweave.llm import bpe, decontamination, line_dedup, lm_scoring, quality_rules, secrets, sharding, simhash, token_files, warc
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -78,6 +78,12 @@ def op8_byte_bpe(spark, sf_dir) -> DataFrame:
     return bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+@_register
+def op9_lm_scoring(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.scores(docs, lm_scoring.train(docs))
+
+
 @_register
 def op10_warc(spark, sf_dir) -> DataFrame:
     return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
