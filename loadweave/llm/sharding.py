@@ -148,25 +148,24 @@ def assign_shards(
 
     Every row gets a slot: nulls in the order columns come first, rows equal in
     all order columns are numbered in any order among themselves, an empty table
-    stays empty. Columns of ``rows`` with one of the three names, or with a name
-    that starts with an underscore, are refused.
+    stays empty. Columns of ``rows`` that have one of the three names are replaced.
     """
-    if taken := [c for c in rows.columns if c in ("row_number", "shard", "slot") or c[0] == "_"]:
-        raise ValueError(f"rename {taken}")
     if shards < 1:
         raise ValueError("at least one shard")
-    numbered = dense_ids(rows, order, name="row_number", start=0)
+    kept = [c for c in rows.columns if c not in ("row_number", "shard", "slot")]
+    keys = [f"key{i}" for i in range(len(order))]
+    packed = rows.select(
+        F.struct(*[F.col(c) for c in kept]).alias("row"),
+        *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)],
+    )
+    numbered = dense_ids(packed, keys, name="row_number", start=0)
     n = numbered.count()  # one number, from the footers of the pinned rows
-    place = permuted(F.col("row_number"), n, seed)
-    return (
-        numbered.withColumn("_place", place)
-        .withColumns(
-            {
-                "shard": F.pmod("_place", F.lit(shards)).cast("int"),
-                "slot": F.call_function("div", F.col("_place"), F.lit(shards).cast("long")),
-            }
-        )
-        .drop("_place")
+    placed = numbered.withColumn("place", permuted(F.col("row_number"), n, seed))
+    return placed.select(
+        "row.*",
+        "row_number",
+        F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
+        F.call_function("div", F.col("place"), F.lit(shards).cast("long")).alias("slot"),
     )
 
 

@@ -1,0 +1,62 @@
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from loadweave.llm import sharding
+from tests.llm import edges
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4099])
+def test_permutation_and_its_inverse(spark, n):
+    rows = spark.range(n).select(
+        "id",
+        sharding.permuted(F.col("id"), n).alias("p"),
+        sharding.unpermuted(sharding.permuted(F.col("id"), n), n).alias("back"),
+    )
+    found = {r.id: r.p for r in rows.collect()}
+    assert sorted(found.values()) == list(range(n))
+    assert all(r.id == r.back for r in rows.collect())
+    assert found == {i: sharding.place_of(i, n) for i in range(n)}
+    for i, p in list(found.items())[:50]:
+        assert sharding.row_of(p % 3, p // 3, 3, n) == i
+
+
+def test_another_seed_gives_another_order():
+    a, b = ([sharding.place_of(i, 500, seed) for i in range(500)] for seed in (1, 2))
+    assert sorted(a) == sorted(b) and sum(x == y for x, y in zip(a, b, strict=True)) < 20
+
+
+def test_no_such_slot():
+    with pytest.raises(ValueError):
+        sharding.row_of(0, 5, 2, 10)
+
+
+def test_documents_fill_shards_evenly(spark):
+    found = sharding.shard_documents(edges.documents(spark), shards=4).collect()
+    assert len(found) == len(edges.TEXTS)
+    per = Counter(r.shard for r in found)
+    assert max(per.values()) - min(per.values()) <= 1
+    for shard in per:
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(per[shard]))
+    texts = {d: t for d, t, *_ in edges.TEXTS if d is not None}
+    for r in found:
+        assert r.row_number == sharding.row_of(r.shard, r.slot, 4, len(found))
+        if r.doc_id is not None:
+            data = (texts[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+    ids = [r.doc_id for r in sorted(found, key=lambda r: r.row_number)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_whole_rows_and_clashing_names(spark):
+    docs = edges.clashing(edges.documents(spark))
+    found = sharding.assign_shards(docs, ["doc_id", "text"], 3)
+    assert set(found.columns) == set(docs.columns)
+    assert sorted(r.row_number for r in found.collect()) == list(range(len(edges.TEXTS)))
+    assert {r.row for r in found.collect()} == {"my row"}
+
+
+def test_empty_table(spark):
+    assert sharding.shard_documents(edges.empty(spark)).count() == 0
