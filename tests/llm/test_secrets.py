@@ -1,0 +1,88 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from loadweave.llm import secrets
+from loadweave.llm.trigrams import trigram_query
+from tests.helpers import plan
+from tests.llm import edges
+
+KEY = "AKIA" + "Q7" * 8
+TEXTS = [
+    f"key {KEY} here",
+    "AKIASHORT and AKIA and akia" + "x" * 20,
+    'PassWord = "hunter2hunter2"; passwd:abc; secret : abcdefg',
+    "token: token = abcdef",
+    "token=secret=abcdefgh api_key='k_1/2+3=' APIKEY: longer-than-six",
+    "deadbeef" * 4 + " " + "deadbeef" * 2 + " " + "DEADBEEF" * 4,
+    "\U0001f600é token=abcdef \U0001f600 " + "0123456789abcdef" * 3,
+    "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 18 + " xoxb-1234567890-abc",
+    "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl tokentokentoken",
+    "pass word sec ret tok en",
+    "a" * 50000,
+    "",
+    None,
+]
+BASE = ("assign", "access", "hex")
+
+
+def by_hand(text):
+    found = []
+    for order, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.pattern, text or ""):
+            if len(m.group(rule.group)) >= rule.least:
+                found.append((m.start(), order, m.end(), rule.kind))
+    found.sort()
+    listed = [f"{k}:{a}:{b}" for a, _, b, k in found]
+    base = ",".join(x for x in listed if x.split(":")[0] in BASE)
+    counts = [sum(f[3] == k for f in found) for k in BASE]
+    return (*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(listed))
+
+
+def test_spans(spark):
+    rows = [(i, t, "en", "a") for i, t in enumerate(TEXTS)] + edges.TEXTS + [(None, TEXTS[2], "en", "a")] * 2
+    docs = edges.clashing(edges.documents(spark, rows))
+    found = secrets.secret_report(docs)
+    expected = [(d, *by_hand(t)) for d, t, *_ in rows]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert sum(e[1] for e in expected) > 5 and sum(e[2] for e in expected) == 1
+    assert "Python" not in plan(found) and "Arrow" not in plan(found)
+
+
+@pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
+def test_every_match_has_the_trigrams(rule):
+    query = trigram_query(rule.pattern)
+    for text in filter(None, TEXTS):
+        for m in re.finditer(rule.pattern, text):
+            folded = m.group().lower()
+            assert any(all(t in folded for t in clause) for clause in query)
+
+
+def test_queries_of_expressions():
+    def of(pattern):
+        return {tuple(sorted(c)) for c in trigram_query(pattern)}
+
+    assert of("abcd") == {("abc", "bcd")}
+    assert of("ab?cd") == {("abc", "bcd"), ("acd",)}
+    assert of("(foo|bar)[0-9]+baz") == {("baz", "foo"), ("bar", "baz")}
+    assert of("ABC.*xyz") == {("abc", "xyz")}
+    assert of("[0-9a-f]{24,}") == {()}
+    assert of("ab|xyz") == {()}
+    assert of("(abc)+") == {("abc",)}
+    assert of("(abc)*d") == {()}
+    assert of("x[ab]{2}y") == {("xaa", "aay")[::-1], ("aby", "xab"), ("bay", "xba"), ("bby", "xbb")}
+
+
+def test_only_candidates_are_found_by_the_index(spark):
+    rows = [(1, "my secret: abcdefg", "en", "a"), (2, "sec ret", "en", "a"), (3, "akia kia", "en", "a")]
+    docs = edges.documents(spark, rows)
+    bits = {k.kind: 1 << i for i, k in enumerate(secrets.RULES)}
+    found = {r.rules for r in secrets.candidates(docs).collect()}
+    assert found == {bits["assign"], bits["access"]}
+
+
+def test_empty_table(spark):
+    assert secrets.secret_report(edges.empty(spark)).count() == 0
+    assert secrets.candidates(edges.documents(spark).filter(F.lit(False))).count() == 0
