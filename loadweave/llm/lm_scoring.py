@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from loadweave.llm.common import filesystem, fresh_folder, local_path
 
 END = b" "  # no word: words have no spaces
-TOKENS_AT_ONCE = 1 << 21
+TOKENS_AT_ONCE = 1 << 18
+COUNTS_AT_ONCE = 1 << 21
 PART_TOKENS = 1 << 22
 CHUNK_BITS = 18  # word numbers per file of the third round
-_CACHED = 1 << 20
+_CACHED = 1 << 18
 _SALT = 8
 
 
@@ -114,12 +115,12 @@ def _token_batches(batches, chosen=None):
     """Yield (rows of the batch, token hashes, start of each text), some texts at a time."""
     hashes = _Hashes()
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         rows, words, sizes, held = [], [], [], 0
-        for row, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+        for row, doc_id in enumerate(ids):
             if chosen is None or chosen(doc_id):
                 rows.append(row)
-                words.append((text or "").encode().lower().split())
+                words.append((texts[row].as_py() or "").encode().lower().split())
                 words[-1].append(END)
                 sizes.append(len(words[-1]))
                 held += sizes[-1]
@@ -143,6 +144,22 @@ def _block(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _summed(batches):
+    """Merge sorted counts of batches until there are many, so that fewer are shuffled."""
+    held, size = [], 0
+    for keys, counts in batches:
+        held.append((keys, counts))
+        size += len(keys)
+        if size >= COUNTS_AT_ONCE:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size >= COUNTS_AT_ONCE // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _merged(held)
+
+
 def _grouped(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartition(parts, "part").sortWithinPartitions("part")
 
@@ -236,8 +253,11 @@ def _firsts(numbers: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
 
 def _count_words(docs: DataFrame, folder: str, parts: int):
     def count(batches):
-        for _, _, hashes, _ in _token_batches(batches, _trained_on):
-            keys, counts = np.unique(hashes, return_counts=True)
+        found = (
+            np.unique(hashes, return_counts=True)
+            for _, _, hashes, _ in _token_batches(batches, _trained_on)
+        )
+        for keys, counts in _summed(found):
             for part, (k, c) in _by_part(_hash_part(keys, parts), keys, counts):
                 yield _block(part, k, c)
 
@@ -271,10 +291,14 @@ def _count_pairs(docs: DataFrame, folder: str, vocabulary, words: int, parts: in
 
     def count(batches):
         known = _Vocabulary(vocabulary)
-        for _, _, hashes, starts in _token_batches(batches, _trained_on):
+
+        def pairs(hashes, starts):
             numbers, _ = known.of_tokens(hashes)
             first = _firsts(numbers, starts, words).astype(np.uint64)
-            keys, counts = np.unique(first * width + numbers.astype(np.uint64), return_counts=True)
+            return np.unique(first * width + numbers.astype(np.uint64), return_counts=True)
+
+        found = (pairs(h, s) for _, _, h, s in _token_batches(batches, _trained_on))
+        for keys, counts in _summed(found):
             part = _pair_part(keys // width, keys % width, parts)
             for p, (k, c) in _by_part(part, keys, counts):
                 yield _block(p, k, c)
