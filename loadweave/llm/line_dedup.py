@@ -104,7 +104,8 @@ def _with_removals(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
     lines = pin(_line_rows(docs, site))
     removals = pin(_removals(lines, boilerplate(lines, min_sites)))
     rows = docs.select(F.struct("*").alias("row"), _row_key().alias("key"))
-    return rows.join(removals, "key", "left").select(
+    # removals grow with the documents: one plan for all sizes, never a broadcast
+    return rows.join(removals.hint("merge"), "key", "left").select(
         "row",
         _remaining(F.col("row.text"), F.col("masks")).alias("text"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
