@@ -145,7 +145,11 @@ def _listed(spans: Column) -> Column:
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id and ``spans``: all spans of a row, by start, then rule."""
     found = pin(candidates(docs, rules))
-    rows = docs.select("doc_id", "text", _row_key().alias("key")).join(found, "key", "left")
+    rows = docs.select("doc_id", "text", _row_key().alias("key")).join(
+        found.hint("merge"),  # candidates grow with the documents: one plan for all sizes
+        "key",
+        "left",
+    )
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_rule(order, rule):
