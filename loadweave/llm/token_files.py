@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 from itertools import chain
 from uuid import uuid4
 
@@ -35,27 +36,42 @@ _WORDS_AT_ONCE = 1 << 19
 
 
 class Tokens:
-    """Encodes texts in a task; remembers pieces up to a bound."""
+    """Encodes texts in a task; remembers pieces, as the bytes of their ids, up to a bound."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        special = self.library.get_added_tokens_decoder().items()
+        # a special token ends what stands before it, so it can part pieces in one call
+        self.mark, self.mark_id = next(
+            ((t.content, i) for i, t in sorted(special) if t.special and not t.normalized), ("", -1)
+        )
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        texts = [p.decode() for p in pieces]
+        if not self.mark or any(self.mark in t for t in texts):
+            found = self.library.encode_batch(texts, add_special_tokens=False)
+            return [np.array(e.ids, np.uint32).tobytes() for e in found]
+        joined = self.library.encode(self.mark.join(texts), add_special_tokens=False)
+        ids = np.array(joined.ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Make the pieces of some texts known."""
         if len(self.known) > _PIECES:
             self.known.clear()
-        new = list({w for words in texts for w in words if w not in self.known})
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            found = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, tuple(e.ids)) for w, e in zip(part, found, strict=True))
+        new = list(set(chain.from_iterable(texts)) - self.known.keys())
+        for start in range(0, len(new), 2000):
+            part = new[start : start + 2000]
+            self.known.update(zip(part, self._encoded(part), strict=True))
 
     def forget_long(self, texts: list[list[bytes]]) -> None:
-        for word in {w for words in texts for w in words if len(w) > _PIECE_BYTES}:
+        for word in {w for w in chain.from_iterable(texts) if len(w) > _PIECE_BYTES}:
             del self.known[word]
 
     def encode(self, texts: list[str | None]):
@@ -69,12 +85,16 @@ class Tokens:
                 at += 1
             self.learn(group)
             for words in group:
-                yield np.fromiter(
-                    chain.from_iterable(map(self.known.__getitem__, words)), np.uint32
-                )
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
             self.forget_long(group)
 
 
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """One ``Tokens`` for all tasks of a worker process."""
+    return Tokens(path)
+
+
 def write_tokens(
     docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, kind: str = "byte"
 ) -> DataFrame:
@@ -88,7 +108,7 @@ def write_tokens(
         batches = (b for b in batches if b.num_rows)
         if (first := next(batches, None)) is None:
             return
-        tokens = Tokens(tokenizer_path)
+        tokens = tokens_of(tokenizer_path)
         part = TaskContext.get().partitionId()
         place = f"{folder}/part-{part:06d}-{uuid4().hex}.planes"
         found, path = filesystem(place)
