@@ -75,8 +75,17 @@ def landing_path_upload(request_id, stored_name, base: str = fv.UPLOAD_FOLDER) -
 
 
 def relative_path(path: Column | str, base: str = fv.UPLOAD_FOLDER) -> Column:
-    """Path from the upload folder on, without scheme, host or mount point."""
-    return F.regexp_extract(_col(path), rf"(?s)(?:^|/)({base}/[0-9]+/[^/]*)$", 1)
+    """Path from the upload folder on, without scheme, host or mount point.
+
+    A path that is not ``<base>/<id>/<leaf>`` stays as it is.
+    """
+    inner = F.regexp_extract(_col(path), rf"(?s)(?:^|/)({base}/[0-9]+/[^/]*)$", 1)
+    return F.coalesce(F.nullif(inner, F.lit("")), _col(path))
+
+
+def is_landing_path(path: Column | str, base: str = fv.UPLOAD_FOLDER) -> Column:
+    """Whether a path is ``<base>/<id>/<leaf>``, behind any mount point."""
+    return F.coalesce(_col(path).rlike(rf"(?s)(?:^|/){base}/[0-9]+/[^/]*$"), F.lit(False))
 
 
 # <base>/<id>/<leaf>; the form layout repeats the id in the leaf and names a type

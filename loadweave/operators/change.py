@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave import schemas
-from loadweave.functions.times import utc_instant, utc_naive
-from loadweave.operators.quality import required_check, split_valid
+from loadweave.functions.times import stamp, utc_instant, utc_naive
+from loadweave.operators.quality import REASONS, split_valid
 
 
 def latest_changes(changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -20,36 +20,38 @@ def latest_changes(changes: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def audit_upsert(
-    snapshot: DataFrame, changes: DataFrame, now: datetime, key: str = "id"
+    snapshot: DataFrame, changes: DataFrame, now: datetime, key: str = "id", order: str | None = None
 ) -> DataFrame:
-    """Snapshot after the changes, one change per key.
+    """Snapshot after the changes.
 
     ``created_at`` is set once; ``updated_at`` becomes ``now`` only on rows where a
-    value differs. The wide snapshot meets the changes in a left join and its keys
-    alone in a semi join, so with few changes neither join shuffles it.
+    value differs. Of several changes to a key the last by ``order`` counts, or, without
+    an order, the one with the largest values. Keys of the snapshot are unique, so both
+    sides meet in one full outer join, each read and shuffled once.
     """
-    values = [c for c in changes.columns if c != key]
-    at = F.lit(now).cast(snapshot.schema["updated_at"].dataType)
-    incoming = changes.select(key, F.struct(*values).alias("_new"))
-    merged = snapshot.join(incoming, key, "left")
+    values = [c for c in changes.columns if c not in (key, order)]
+    new = F.struct(*values)
+    last = F.max_by(new, order) if order else F.max(new)
+    incoming = changes.groupBy(F.col(key).alias("_key")).agg(last.alias("_new"))
+    old = snapshot.select(F.col(key).alias("_old_key"), F.struct("*").alias("_old"))
+    met = old.join(incoming, F.col("_old_key") == F.col("_key"), "full_outer")
+    added, changed = F.col("_old").isNull(), F.col("_new").isNotNull()
     differs = F.lit(False)
     for c in values:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_new.{c}"))
-    touched = F.col("_new").isNotNull() & differs
-    # the time goes first in the plan: it compares old values with new ones
-    updated = merged.select(
-        *[
-            F.when(touched, at).otherwise(F.col(c)).alias(c)
-            if c == "updated_at"
-            else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in values
-            else F.col(c)
-            for c in snapshot.columns
-        ]
-    )
-    known = snapshot.select(key).join(changes.select(key), key, "left_semi")
-    added = changes.join(known, key, "left_anti").withColumns({"created_at": at, "updated_at": at})
-    return updated.unionByName(added, allowMissingColumns=True)
+        differs = differs | ~F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}"))
+
+    def after(c):
+        before = F.col(f"_old.{c}")
+        at = stamp(now, snapshot.schema[c].dataType) if c in ("created_at", "updated_at") else None
+        if c == key:
+            return F.coalesce("_old_key", "_key")
+        if c == "created_at":
+            return F.when(added, at).otherwise(before)
+        if c == "updated_at":
+            return F.when(added | (changed & differs), at).otherwise(before)
+        return F.when(changed, F.col(f"_new.{c}")).otherwise(before) if c in values else before
+
+    return met.select(*[after(c).alias(c) for c in snapshot.columns])
 
 
 def evolve_up(requests: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +60,11 @@ def evolve_up(requests: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]
     Adds ``updated_at``, turns the naive ``created_at`` into an instant, and asks
     for status and created_at to be present.
     """
-    valid, rejected = split_valid(required_check(requests, ["status", "created_at"]))
-    evolved = valid.withColumns(
-        {"created_at": utc_instant("created_at"), "updated_at": F.lit(now).cast("timestamp")}
-    )
+    # present is all the later schema asks for: an empty status is a value
+    missing = [F.when(F.col(c).isNull(), F.lit(f"{c}:required")) for c in ("status", "created_at")]
+    checked = requests.withColumn(REASONS, F.array_compact(F.array(*missing)))
+    valid, rejected = split_valid(checked)
+    evolved = valid.withColumns({"created_at": utc_instant("created_at"), "updated_at": stamp(now)})
     return evolved, rejected
 
 

@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,15 +40,49 @@ def test_upsert_can_set_null_and_leave_columns_out(spark):
     assert rows(after.filter("id = 1")) == [(1, "x", None, T0, T2)]
 
 
-def test_few_changes_leave_the_snapshot_unshuffled(spark, tmp_path):
+def test_each_side_is_read_and_joined_once(spark, tmp_path):
     wide = spark.range(1000).select(
         "id", F.lit("v").alias("a"), F.lit(T0).cast("timestamp_ntz").alias("created_at"),
         F.lit(T0).cast("timestamp_ntz").alias("updated_at"),
     )
+    wide.write.parquet(str(tmp_path / "s"))
     spark.createDataFrame([(1, "w")], "id long, a string").write.parquet(str(tmp_path / "c"))
-    changes = spark.read.parquet(str(tmp_path / "c"))
-    after = change.audit_upsert(wide, changes, T2)
-    assert "SortMergeJoin" not in plan(after)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        after = change.audit_upsert(
+            spark.read.parquet(str(tmp_path / "s")), spark.read.parquet(str(tmp_path / "c")), T2
+        )
+        text = plan(after)
+    assert text.count("FileScan") == 2 and text.count("SortMergeJoin") == 1
+
+
+def test_several_changes_to_a_key_give_one_row(spark):
+    changes = spark.createDataFrame(
+        [(1, "b", "y", 2), (1, "c", "y", 1), (4, "n", None, 5), (4, "m", None, 4)],
+        "id long, a string, b string, turn int",
+    )
+    after = change.audit_upsert(snapshot(spark), changes, T2, order="turn")
+    assert rows(after.filter("id in (1, 4)"), "id", "a") == [(1, "b"), (4, "n")]
+    unordered = change.audit_upsert(snapshot(spark), changes.drop("turn"), T2)
+    assert rows(unordered.filter("id in (1, 4)"), "id", "a") == [(1, "c"), (4, "n")]
+
+
+def test_times_do_not_follow_the_zone_of_the_machine():
+    code = """
+from datetime import datetime
+from loadweave.session import build_session
+from loadweave.operators import change
+from loadweave.functions.times import stamp
+spark = build_session("zone", "local[1]", **{"spark.ui.enabled": "false"})
+old = spark.createDataFrame([(1, "")], "id long, status string").selectExpr("*", "timestamp_ntz'2026-01-01 00:00:00' created_at")
+up, _ = change.evolve_up(old, datetime(2026, 1, 1))
+print("FOUND", up.selectExpr("unix_micros(created_at) c", "unix_micros(updated_at) u").first())
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120,
+        env=os.environ | {"TZ": "Asia/Tehran", "PYTHONPATH": root},
+    ).stdout
+    assert "FOUND Row(c=1767225600000000, u=1767225600000000)" in out
 
 
 def test_latest_change_wins(spark):
@@ -72,9 +110,9 @@ def up_and_down(spark):
 
 
 def test_up_holds_back_rows_that_break_the_schema(spark):
-    old = spark.createDataFrame([(1, None, T0), (2, "S", None), (3, "S", T0)], "id long, status string, created_at timestamp_ntz")
+    old = spark.createDataFrame([(1, None, T0), (2, "S", None), (3, "S", T0), (4, "", T0)], "id long, status string, created_at timestamp_ntz")
     up, bad = change.evolve_up(old, T2)
-    assert rows(up, "id") == [(3,)] and rows(bad, "id") == [(1,), (2,)]
+    assert rows(up, "id") == [(3,), (4,)] and rows(bad, "id") == [(1,), (2,)]
 
 
 def test_new_table_is_empty(spark):
