@@ -16,33 +16,36 @@ whole numbers so that running totals do not depend on the order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadweave import fixed_values as fv
 from loadweave.functions.ordered import (
-    RANGE,
     carry_forward,
     range_offsets,
     running_total,
     split_ranges,
     total_in_ranges,
 )
+from loadweave.functions.times import stamp
+from loadweave.operators.relations import join_aggregated
 
+RUN_FAILED = "failed"
+RUN_EMPTY = "empty"
 ZERO_LOAD = "zero_load"
 NO_FLEET = "no_fleet"
 FLEET_FULL = "fleet_full"
 STRADDLES = "straddles_vehicles"
 
 
-def vehicle_spans(
-    fleet: DataFrame, ranges: int | None = None, whole: bool = False
-) -> DataFrame:
+def vehicle_spans(fleet: DataFrame, ranges: int | None = None) -> DataFrame:
     """zone, vehicle: each vehicle with its capacity interval [vlo, vhi)."""
     usable = fleet.filter(F.col("zone").isNotNull() & (F.col("capacity") > 0)).select(
         "zone", "vehicle_id", F.col("capacity").cast("long").alias("capacity")
     )
-    summed = running_total(usable, ["zone"], ["vehicle_id"], "capacity", "vhi", ranges, whole)
+    summed = running_total(usable, ["zone"], ["vehicle_id"], "capacity", "vhi", ranges)
     return summed.select(
         "zone",
         F.struct(
@@ -51,59 +54,52 @@ def vehicle_spans(
     )
 
 
-def _vehicles_per_range(
-    offsets: DataFrame, spans: DataFrame, ranges: int | None, whole: bool
-) -> DataFrame:
-    """For each range of orders, the vehicles its orders can meet.
+def marks_by_place(orders: DataFrame, fleet: DataFrame, ranges: int | None = None) -> DataFrame:
+    """zone, at, kind, order columns and ``open``: where orders and vehicles start.
 
-    These are the vehicle that is open where the range starts and the vehicles
-    that start inside it. One ordered pass over vehicle starts and range starts
-    finds both, so a vehicle is repeated only where it reaches over a range
-    start: vehicles plus ranges bounds the outcome.
+    Vehicles that start behind all of their zone's orders can take none and are left
+    out; of the others each is one row, so orders plus vehicles bounds the outcome.
     """
-    range_starts = offsets.select(
-        "zone", F.col("load").alias("at"), F.col(RANGE).alias("tie"), F.col(RANGE).alias("seen_range")
+    load = F.greatest(F.coalesce("load", F.lit(0)), F.lit(0)).cast("long")
+    by = ["zone", "order_ts", "order_id"]
+    queue = split_ranges(orders.select(*by, load.alias("load")), by, ranges)
+    offsets = range_offsets(queue, ["zone"], "load")
+    placed = total_in_ranges(queue, offsets, ["zone"], ["order_ts", "order_id"], "load", "hi")
+    # one row per zone
+    totals = queue.groupBy("zone").agg(F.sum("load").alias("total"))
+    reached = join_aggregated(vehicle_spans(fleet, ranges), totals, "zone").filter(
+        F.col("vehicle.vlo") < F.col("total")
     )
-    vehicle_starts = spans.select(
-        "zone", F.col("vehicle.vlo").alias("at"), F.lit(-1).alias("tie"), "vehicle"
+    return placed.select(
+        "zone",
+        (F.col("hi") - F.col("load")).alias("at"),
+        F.lit(1).alias("kind"),
+        "order_ts",
+        "order_id",
+        "load",
+    ).unionByName(
+        reached.select(
+            "zone",
+            F.col("vehicle.vlo").alias("at"),
+            F.lit(0).alias("kind"),
+            F.col("vehicle").alias("open"),
+        ),
+        allowMissingColumns=True,
     )
-    marks = range_starts.unionByName(vehicle_starts, allowMissingColumns=True)
-    # a vehicle that starts with a range sorts before it and is open there
-    passed = carry_forward(marks, ["zone"], ["at", "tie"], ["seen_range", "vehicle"], ranges, whole)
-    # on range rows seen_range is the range itself, on vehicle rows the one before;
-    # vehicle likewise: each row is one (range, vehicle) pair unless a side is missing
-    return passed.select("zone", F.col("seen_range").alias(RANGE), "vehicle").dropna()
-
-
-def allocate_orders(
-    orders: DataFrame,
-    fleet: DataFrame,
-    ranges: int | None = None,
-    vehicle_limit: int = 1_000_000,
-) -> DataFrame:
+
+
+def allocate_orders(orders: DataFrame, fleet: DataFrame, ranges: int | None = None) -> DataFrame:
     """order_id, zone, order_ts, load, vehicle_id, reason: one row per order.
 
     ``vehicle_id`` is NULL where no vehicle was found and ``reason`` then says
-    why. A missing or negative load counts as 0. Orders are split into ranges of
-    the queue, so no zone has to fit into one task. The vehicles are few beside
-    them: up to ``vehicle_limit``, a zone's vehicles are lined up in one task. A
-    larger fleet is split like the orders, and where even one range of orders meets
-    more vehicles than that, orders and vehicles are split anew by place.
+    why. A missing or negative load counts as 0. One plan for all sizes: orders and
+    vehicles each get their place by a running total over ranges, then both are split
+    by place together, and each order finds the vehicle last opened before it. So
+    neither a zone nor a place crowded with orders or vehicles has to fit into one task.
     """
-    load = F.greatest(F.coalesce("load", F.lit(0)), F.lit(0)).cast("long")
-    queue = split_ranges(
-        orders.select("zone", "order_ts", "order_id", load.alias("load")),
-        ["zone", "order_ts", "order_id"],
-        ranges,
-    )
-    few = fleet.count() <= vehicle_limit
-    offsets = range_offsets(queue, ["zone"], "load")
-    spans = vehicle_spans(fleet, ranges, few)
-    vehicles = _vehicles_per_range(offsets, spans, ranges, few)
-    if few or _most_per_range(vehicles) <= vehicle_limit:
-        matched = _match_in_ranges(queue, offsets, vehicles)
-    else:
-        matched = _match_by_place(queue, offsets, spans, ranges)
+    order = ["at", "kind", "order_ts", "order_id"]
+    marks = marks_by_place(orders, fleet, ranges)
+    matched = carry_forward(marks, ["zone"], order, ["open"], ranges).filter("kind = 1")
     reason = (
         F.when(F.col("load") == 0, ZERO_LOAD)
         .when(F.col("open").isNull(), NO_FLEET)
@@ -120,61 +116,6 @@ def allocate_orders(
     )
 
 
-def _most_per_range(vehicles: DataFrame) -> int:
-    counts = vehicles.groupBy("zone", RANGE).count()
-    return counts.agg(F.coalesce(F.max("count"), F.lit(0).cast("long")).alias("n")).first()["n"]
-
-
-def _match_in_ranges(queue: DataFrame, offsets: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Orders with place ``at`` and the vehicle ``open`` there, in one shuffle.
-
-    Each range gets the load before it as its first row and its vehicles as extra
-    rows, so the shuffle by (zone, range) serves the running load and the match.
-    """
-    lead, order, vehicle = F.lit(0), F.lit(1), F.lit(2)
-    rows = (
-        queue.withColumn("kind", order)
-        .unionByName(offsets.withColumn("kind", lead), allowMissingColumns=True)
-        .unionByName(
-            vehicles.withColumns({"kind": vehicle, "load": F.lit(0).cast("long")}),
-            allowMissingColumns=True,
-        )
-    )
-    per_range = Window.partitionBy("zone", RANGE)
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    in_queue = per_range.orderBy("kind", "order_ts", "order_id").rowsBetween(*so_far)
-    by_place = per_range.orderBy("at", F.desc("kind")).rowsBetween(*so_far)
-    lo = F.sum("load").over(in_queue) - F.col("load")
-    return (
-        rows.withColumn("lo", lo)
-        .withColumn("at", F.when(F.col("kind") == vehicle, F.col("vehicle.vlo")).otherwise(F.col("lo")))
-        .withColumn("open", F.last("vehicle", ignorenulls=True).over(by_place))
-        .filter(F.col("kind") == order)
-    )
-
-
-def _match_by_place(
-    queue: DataFrame, offsets: DataFrame, spans: DataFrame, ranges: int | None
-) -> DataFrame:
-    """The same for ranges crowded with vehicles: orders and vehicles split by place."""
-    placed = total_in_ranges(queue, offsets, ["zone"], ["order_ts", "order_id"], "load", "hi")
-    marks = placed.select(
-        "zone",
-        (F.col("hi") - F.col("load")).alias("at"),
-        F.lit(1).alias("kind"),
-        "order_ts",
-        "order_id",
-        "load",
-    ).unionByName(
-        spans.select(
-            "zone", F.col("vehicle.vlo").alias("at"), F.lit(0).alias("kind"), F.col("vehicle").alias("open")
-        ),
-        allowMissingColumns=True,
-    )
-    order = ["at", "kind", "order_ts", "order_id"]
-    return carry_forward(marks, ["zone"], order, ["open"], ranges).filter("kind = 1")
-
-
 def manual_review(allocation: DataFrame) -> DataFrame:
     """Orders that no vehicle took, with the reason."""
     return allocation.filter(F.col("reason").isNotNull()).select(
@@ -267,26 +208,46 @@ def run_summary_by_zone(allocation: DataFrame, fleet: DataFrame) -> DataFrame:
 
 
 def input_digest(orders: DataFrame, fleet: DataFrame) -> DataFrame:
-    """One row with a number that depends on the input rows, not on their order."""
-    row_hashes = orders.select(
-        F.xxhash64(F.lit("order"), "zone", "order_id", "order_ts", "load").alias("h")
-    ).unionByName(fleet.select(F.xxhash64(F.lit("vehicle"), "zone", "vehicle_id", "capacity").alias("h")))
-    return row_hashes.agg(
-        F.coalesce(F.bit_xor("h"), F.lit(0).cast("long")).alias("digest"),
-        F.sum(F.col("h").cast("decimal(20,0)")).alias("digest_sum"),
+    """One row with numbers that depend on the input rows as given, not on their order.
+
+    NULL, negative and zero loads are different inputs. Each row adds the first 60 bits of a
+    SHA-256 over its values; sums are decimals and cannot overflow.
+    """
+
+    def part(kind, df, *columns):
+        values = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+        digest = F.sha2(F.concat(F.lit(f"{kind}|"), F.array_join(values, "|")), 256)
+        return df.select(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)").alias("h"))
+
+    order_ts = F.date_format("order_ts", "yyyy-MM-dd HH:mm:ss")
+    rows = part(
+        "order", orders.withColumn("order_ts", order_ts), "zone", "order_id", "order_ts", "load"
+    ).unionByName(part("vehicle", fleet, "zone", "vehicle_id", "capacity"))
+    return rows.agg(
+        F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").alias("digest"),
         F.count("*").alias("input_rows"),
     )
 
 
-def run_log(summary: DataFrame, digest: DataFrame, params: str = "") -> DataFrame:
-    """One log row per run: run_id, status, message, params and the counts.
+def run_log(
+    summary: DataFrame, digest: DataFrame, params: str = "", now: datetime | None = None
+) -> DataFrame:
+    """One log row per run: run_id, status, message, params, the counts and run_at.
+
+    A run that allocated something is a success, one without any order is empty, and
+    one that had orders and placed none has failed.
 
     Equal inputs and parameters give the same run_id, so a repeated run can be
     recognised. Both inputs have one row; they are stacked and folded into one.
     """
     stacked = summary.unionByName(digest, allowMissingColumns=True)
     both = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-    seed = F.concat_ws("|", F.lit(params), "digest", "digest_sum", "input_rows")
+    seed = F.concat_ws("|", F.lit(params), F.col("digest").cast("string"), "input_rows")
+    status = (
+        F.when(F.col("allocated") > 0, fv.RUN_SUCCESS)
+        .when(F.col("remaining") > 0, RUN_FAILED)
+        .otherwise(RUN_EMPTY)
+    )
     message = F.format_string(
         "%d orders allocated, %d left for review, %d of %d vehicles used",
         "allocated",
@@ -296,7 +257,7 @@ def run_log(summary: DataFrame, digest: DataFrame, params: str = "") -> DataFram
     )
     return both.select(
         F.concat(F.lit("run-"), F.substring(F.sha2(seed, 256), 1, 16)).alias("run_id"),
-        F.lit(fv.RUN_SUCCESS).alias("status"),
+        status.alias("status"),
         message.alias("message"),
         F.lit(params).alias("params"),
         "allocated",
@@ -304,4 +265,5 @@ def run_log(summary: DataFrame, digest: DataFrame, params: str = "") -> DataFram
         "vehicles_used",
         "vehicles_total",
         "efficiency_bp",
+        stamp(now or datetime.now(UTC)).alias("run_at"),
     )

@@ -4,8 +4,9 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from tests.helpers import plan, rows
+from tests.helpers import plan, rows, settings
 
+from loadweave.functions.ordered import split_ranges
 from loadweave.operators import allocation as al
 from loadweave.sources.tables import append_run
 
@@ -53,17 +54,17 @@ def made_up(seed, n=700, vehicles=60, top_load=30):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("ranges, limit", [(None, 100), (1, 100), (11, 100), (11, 50), (None, 0), (11, 0)])
-def test_matches_brute_force(spark, seed, ranges, limit):
-    # 60 vehicles: in one task per zone, split like the orders, split by place
-    orders, fleet = made_up(seed)
+@pytest.mark.parametrize("ranges", [None, 1, 11])
+@pytest.mark.parametrize("vehicles", [60, 1000])
+def test_matches_brute_force(spark, seed, ranges, vehicles):
+    # 1000 vehicles: a surplus that starts behind the last order of a zone
+    orders, fleet = made_up(seed, vehicles=vehicles)
     got = al.allocate_orders(
-        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), ranges, limit
+        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), ranges
     )
     assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
 @pytest.mark.parametrize(
     "orders, fleet",
     [
@@ -78,9 +79,9 @@ def test_matches_brute_force(spark, seed, ranges, limit):
         ([(1, i, DAY, 5) for i in range(40)], [(1, v, 5) for v in range(39)]),
     ],
 )
-def test_edges_match_brute_force(spark, orders, fleet, limit):
+def test_edges_match_brute_force(spark, orders, fleet):
     got = al.allocate_orders(
-        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 5, limit
+        spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 5
     )
     assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
 
@@ -104,9 +105,20 @@ def test_keys_may_be_text(spark):
     fleet = [(*text(z, v), c) for z, v, c in fleet]
     o = spark.createDataFrame(orders, "zone string, order_id string, order_ts timestamp_ntz, load int")
     f = spark.createDataFrame(fleet, "zone string, vehicle_id string, capacity int")
-    for limit in (100, 0):
-        got = al.allocate_orders(o, f, 4, limit)
-        assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
+    got = al.allocate_orders(o, f, 4)
+    assert rows(got, "order_id", "vehicle_id", "reason") == brute_force(orders, fleet)
+
+
+def test_no_range_gets_more_than_its_share(spark):
+    # one zone, more vehicles than orders, most of them behind the last order
+    orders = [(1, i, DAY, 10) for i in range(1000)]
+    fleet = [(1, v, 3 if v < 3000 else 100) for v in range(5000)]
+    marks = al.marks_by_place(spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET), 8)
+    assert marks.filter("kind = 0").count() == 3010  # the rest starts behind the last order
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        split = split_ranges(marks, ["zone", "at", "kind", "order_ts", "order_id"], 8)
+    sizes = [r["count"] for r in split.groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / 8
 
 
 def test_summary_invariants(spark):
@@ -134,21 +146,23 @@ def test_empty_run_has_a_summary(spark):
 def test_run_id_depends_on_the_rows_not_on_their_order(spark, tmp_path):
     orders, fleet = made_up(4, 60, 10)
 
-    def run_id(order_rows, params=""):
+    def run_id(order_rows, params="", status="success"):
         o, f = spark.createDataFrame(order_rows, ORDERS), spark.createDataFrame(fleet, FLEET)
         summary = al.run_summary(al.allocate_orders(o, f), f)
-        log = al.run_log(summary, al.input_digest(o, f), params)
+        log = al.run_log(summary, al.input_digest(o, f), params, DAY)
         append_run(log, str(tmp_path))
         row = log.first()
-        assert row["status"] == "success"
+        assert row["status"] == status
         return row["run_id"]
 
     same = run_id(orders)
     assert same == run_id(list(reversed(orders)))
-    assert same != run_id(orders[1:])
-    assert same != run_id(orders, "other")
+    ids = {same, run_id(orders[1:]), run_id(orders, "other"), run_id([], status="empty")}
+    # loads that count alike are different inputs
+    one = [run_id([(1, 1, DAY, load)], status="failed") for load in (0, None, -5)]
+    assert len(ids | set(one)) == 7
     # the repeated run has one entry
-    assert spark.read.parquet(str(tmp_path)).count() == 3
+    assert spark.read.parquet(str(tmp_path)).count() == 7
 
 
 def test_unassigned(spark):
@@ -156,12 +170,7 @@ def test_unassigned(spark):
     assert rows(al.unassigned(orders, orders.filter("order_id = 2"))) == [(1,), (3,)]
 
 
-def test_plan_has_one_shuffle_of_the_orders_and_no_pair_join(spark):
+def test_plan_has_no_pair_join(spark):
     orders, fleet = made_up(1)
-    a = al.allocate_orders(spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET))
-    text = plan(a)
+    text = plan(al.allocate_orders(spark.createDataFrame(orders, ORDERS), spark.createDataFrame(fleet, FLEET)))
     assert "Cartesian" not in text and "NestedLoop" not in text and "Join" not in text
-    # the match itself sits on one exchange, the others below it take summaries and vehicles
-    top = text[: text.index("Union")]
-    assert top.count("Exchange") == 1
-    assert "hashpartitioning(zone" in top and "_range" in top
