@@ -188,7 +188,8 @@ def storage_reconcile(landed: DataFrame, files: DataFrame) -> DataFrame:
 
     ``landed`` has path and size, ``files`` the file rows. Rows that share a path
     are reduced to the last writer first, so both sides have one row per path and
-    no path can be hot in the join.
+    no path can be hot in the join. A path outside the upload folder's scheme stays
+    whole and has a class of its own.
     """
     disk = landed.select(
         names.relative_path("path").alias("path"), F.col("size").alias("disk_bytes")
@@ -197,7 +198,8 @@ def storage_reconcile(landed: DataFrame, files: DataFrame) -> DataFrame:
         F.max_by("file_size", "id").alias("row_bytes"), F.count("*").alias("rows")
     )
     kind = (
-        F.when(F.col("rows").isNull(), "bytes_without_row")
+        F.when(~names.is_landing_path("path"), "unrecognised_path")
+        .when(F.col("rows").isNull(), "bytes_without_row")
         .when(F.col("disk_bytes").isNull(), "row_without_bytes")
         .when(F.col("disk_bytes") == F.col("row_bytes"), "ok")
         .otherwise("size_mismatch")

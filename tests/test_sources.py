@@ -26,9 +26,34 @@ def uploads(tmp_path):
     return str(tmp_path / "uploads")
 
 
+def test_a_missing_root_is_an_error(spark):
+    with pytest.raises(Exception, match="nowhere"):
+        landing.list_folders(spark, "/nowhere/uploads").collect()
+
+
+def test_paths_outside_the_scheme_stay_apart(spark):
+    landed = spark.createDataFrame(
+        [("file:/mnt/uploads/77/x.txt", 1), ("/elsewhere/a", 2), ("/elsewhere/b", 3)], "path string, size long"
+    )
+    files = spark.createDataFrame(
+        [(1, "archive/c", 4), (2, "archive/d", 5), (3, None, 6)], "id long, file_path string, file_size long"
+    )
+    found = quality.storage_reconcile(landed, files)
+    assert rows(found, "path", "class", "disk_bytes", "row_bytes") == sorted(
+        [
+            ("uploads/77/x.txt", "bytes_without_row", 1, None),
+            ("/elsewhere/a", "unrecognised_path", 2, None),
+            ("/elsewhere/b", "unrecognised_path", 3, None),
+            ("archive/c", "unrecognised_path", None, 4),
+            ("archive/d", "unrecognised_path", None, 5),
+            (None, "unrecognised_path", None, 6),
+        ],
+        key=repr,
+    )
+
+
 def test_listing_keeps_empty_files(spark, uploads):
-    ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
-    manifest = landing.parse_manifest(landing.list_folders(ids, uploads, 3))
+    manifest = landing.parse_manifest(landing.list_folders(spark, uploads, 3))
     assert rows(manifest.drop("path")) == sorted(
         [
             (3, 1, "form", "orders", "سفارش ها.csv"),
@@ -50,8 +75,7 @@ def test_listing_reconciles_with_the_catalogue(spark, uploads):
         ],
         "id long, file_path string, file_size long",
     )
-    ids = spark.range(10)
-    found = quality.storage_reconcile(landing.list_folders(ids, uploads), files)
+    found = quality.storage_reconcile(landing.list_folders(spark, uploads), files)
     assert rows(found, "path", "class") == sorted(
         [
             ("uploads/1/1_orders_سفارش ها.csv", "ok"),
