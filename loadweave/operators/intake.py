@@ -15,10 +15,21 @@ from loadweave import fixed_values as fv
 from loadweave import schemas
 from loadweave.functions import names
 from loadweave.functions.ordered import dense_ids
+from loadweave.functions.times import stamp
 from loadweave.operators.quality import REASONS, fails_cast, rule_reasons, split_valid
 from loadweave.operators.relations import file_pages
+from loadweave.session import pin
 
-_FORM_TEXT = ("company_name", "contact_name", "mobile", "email", "industry", "goal")
+_FORM_TEXT = (
+    "submission_id",
+    "company_name",
+    "contact_name",
+    "mobile",
+    "email",
+    "industry",
+    "goal",
+)
+LANDED_ROW = "landed_row"
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -32,32 +43,55 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({**empty, **fixed})
 
 
+def numbered(landed: DataFrame) -> DataFrame:
+    """Landed rows with a number each. It holds from the moment the rows are written down."""
+    return landed.withColumn(LANDED_ROW, F.monotonically_increasing_id())
+
+
 def check_submissions(submissions: DataFrame) -> DataFrame:
     """Submissions with the reasons against them, empty where there are none."""
-    return submissions.withColumn(REASONS, rule_reasons(schemas.SUBMISSION, _FORM_TEXT))
+    reasons = rule_reasons(schemas.SUBMISSION, _FORM_TEXT)
+    if schemas.RAW_TEXT in submissions.columns:
+        broken = F.when(F.col(schemas.RAW_TEXT).isNotNull(), F.array(F.lit("line:unreadable")))
+        reasons = F.concat(F.coalesce(broken, F.array().cast("array<string>")), reasons)
+    return submissions.withColumn(REASONS, reasons)
 
 
-def each_once(submissions: DataFrame) -> DataFrame:
-    """One row per submission, where landing delivered some of them more than once.
+def one_of_each(landed: DataFrame) -> DataFrame:
+    """One landed row per submission, where some landed more than once.
 
-    Repeats are dropped before the shuffle as well as behind it.
+    Of unequal copies the one with the smallest hash of its content is taken, so the
+    choice does not depend on where rows lie. It is made on narrow columns and written
+    down; texts then meet the chosen row numbers, which no two rows share. Rows without id
+    all stay: nothing tells which of them are copies.
     """
-    return submissions.dropDuplicates(["submission_id"])
+    key = F.nullif("submission_id", F.lit(""))
+    content = F.xxhash64(*[c for c in landed.columns if c != LANDED_ROW])
+    narrow = landed.select("submission_id", content.alias("hash"), LANDED_ROW)
+    # rows equal in the hash are equal: which of them is taken shows nowhere
+    chosen = (
+        narrow.filter(key.isNotNull())
+        .groupBy("submission_id")
+        .agg(F.min_by(LANDED_ROW, "hash").alias(LANDED_ROW))
+        .select(LANDED_ROW)
+    )
+    kept = pin(chosen.unionByName(narrow.filter(key.isNull()).select(LANDED_ROW)))
+    return landed.join(kept, LANDED_ROW, "left_semi")
 
 
 def request_rows(valid: DataFrame, now: datetime, start_id: int = 1) -> DataFrame:
-    """Request rows for valid submissions, each once, still carrying their slots.
+    """Request rows for valid submissions of unique id, still carrying their slots.
 
-    Ids are dealt out on the keys alone and then joined to the rows. Dropping
-    repeats has brought the wide rows together by key already, so the join does
-    not move them again, and by then no key is left that could be hot.
+    Ids are dealt out on the keys alone and then joined to the rows on the landed row,
+    by which choosing one of each has brought the wide rows together already.
     """
-    ids = dense_ids(each_once(valid.select("submission_id")), ["submission_id"], "id", start_id)
-    at = F.lit(now).cast("timestamp")
+    keys = valid.select("submission_id", LANDED_ROW)
+    ids = dense_ids(keys, ["submission_id"], "id", start_id).select("id", LANDED_ROW)
+    at = stamp(now)
     return with_defaults(
-        each_once(valid)
-        .join(ids, "submission_id")
-        .withColumns({"status": F.lit(fv.DEFAULT_STATUS), "created_at": at, "updated_at": at})
+        valid.join(ids, LANDED_ROW).withColumns(
+            {"status": F.lit(fv.DEFAULT_STATUS), "created_at": at, "updated_at": at}
+        )
     )
 
 
@@ -113,11 +147,15 @@ def form_file_rows(
     return _as_file_rows(dense_ids(pathed, ["request_id", "position"], "id", start_id), now)
 
 
-def upload_file_rows(
-    uploads: DataFrame, now: datetime, start_id: int = 1, run: str = ""
-) -> DataFrame:
-    """File rows of the upload layout: request_id, position, file_type, filename, content_type, size."""
+def upload_file_rows(uploads: DataFrame, now: datetime, start_id: int = 1) -> DataFrame:
+    """File rows of the upload layout, next to their ``upload_id``.
+
+    ``uploads`` has upload_id, request_id, position, file_type, filename, content_type,
+    size; (upload_id, position) is unique. The upload's id is part of what the stored name derives
+    from, so a name uploaded again does not overwrite the first, and a retry repeats it.
+    """
     named = uploads.select(
+        "upload_id",
         "request_id",
         "position",
         "file_type",
@@ -125,16 +163,36 @@ def upload_file_rows(
         "content_type",
         F.col("size").alias("file_size"),
     )
-    seed = F.concat_ws("|", F.lit(run), "request_id", "position", "original_name")
+    seed = F.to_json(F.array(*[F.col(c).cast("string") for c in ("upload_id", "position", "original_name")]))
     stored = named.withColumn("stored_name", names.stored_name_upload("original_name", seed))
     pathed = stored.withColumn("file_path", names.landing_path_upload("request_id", "stored_name"))
-    return _as_file_rows(dense_ids(pathed, ["request_id", "position"], "id", start_id), now)
+    return _as_file_rows(
+        dense_ids(pathed, ["upload_id", "position"], "id", start_id), now, "upload_id"
+    )
 
 
-def _as_file_rows(numbered: DataFrame, now: datetime) -> DataFrame:
-    at = F.lit(now).cast("timestamp")
-    stamped = with_defaults(numbered).withColumns({"created_at": at, "updated_at": at})
-    return stamped.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REQUEST_FILES.fields])
+def _as_file_rows(with_ids: DataFrame, now: datetime, *keep: str) -> DataFrame:
+    at = stamp(now)
+    stamped = with_defaults(with_ids).withColumns({"created_at": at, "updated_at": at})
+    return stamped.select(
+        *keep, *[F.col(f.name).cast(f.dataType) for f in schemas.REQUEST_FILES.fields]
+    )
+
+
+def upload_intake(
+    uploads: DataFrame, requests: DataFrame, now: datetime, start_id: int = 1
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, files of unknown requests, rejected files, receipts) of a set of uploads.
+
+    Files are checked first, then split by whether their request exists. A receipt lists
+    what one upload call has stored; a call beyond a page has several.
+    """
+    checked = pin(check_files(upload_file_rows(uploads, now, start_id)))
+    good, rejected = split_valid(checked)
+    known = requests.select(F.col("id").alias("request_id")).distinct()
+    orphans = good.join(known, "request_id", "left_anti")
+    stored = good.join(known, "request_id", "left_semi")
+    return stored, orphans, rejected, upload_receipt(stored, by="upload_id")
 
 
 def intake(
@@ -144,17 +202,19 @@ def intake(
     start_file_id: int = 1,
     run: str = "",
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(requests, files, rejected submissions, rejected files) of one set of landed submissions.
+    """(requests, files, rejected submissions, rejected files) of one set of landed rows.
 
-    The submissions are read several times, in narrow columns: hand in a table,
-    not texts still to be parsed (``pin`` makes one).
+    Every landed row is a request, a reject or a copy of one of these. Rejects come one by
+    one, with reasons and, where a line could not be read, its text. Rows are read several
+    times: those that carry no ``landed_row`` yet are numbered and written down first.
     """
-    valid, rejected = split_valid(check_submissions(submissions))
+    landed = submissions if LANDED_ROW in submissions.columns else pin(numbered(submissions))
+    valid, rejected = split_valid(check_submissions(one_of_each(landed)))
     carried = request_rows(valid, now, start_request_id)
     requests = carried.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REQUESTS.fields])
     checked = check_files(form_file_rows(carried, now, start_file_id, run))
     files, bad_files = split_valid(checked)
-    return requests, files, each_once(rejected), bad_files
+    return requests, files, rejected, bad_files
 
 
 def check_files(files: DataFrame) -> DataFrame:
@@ -162,22 +222,18 @@ def check_files(files: DataFrame) -> DataFrame:
     return files.withColumn(REASONS, rule_reasons(schemas.REQUEST_FILES))
 
 
-def next_id(existing: DataFrame) -> int:
-    """One more than the largest id; 1 for an empty table. Brings one number to the driver."""
-    return existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("m")).first()["m"] + 1
-
-
-def upload_receipt(files: DataFrame, page_size: int = 1000) -> DataFrame:
-    """request_id, page, success, files: what an upload reports back, in bounded pages."""
-    pages = file_pages(files, page_size, "original_name", "stored_name", "file_type")
-    return pages.select("request_id", "page", F.lit(True).alias("success"), "files")
+def upload_receipt(
+    files: DataFrame, page_size: int = 1000, by: str = "request_id"
+) -> DataFrame:
+    """``by``, page, success, files: what an upload reports back, in bounded pages."""
+    pages = file_pages(files, page_size, "original_name", "stored_name", "file_type", by=by)
+    return pages.select(by, "page", F.lit(True).alias("success"), "files")
 
 
 def receipt_json(receipts: DataFrame) -> DataFrame:
     """Receipts with the answer as one JSON text."""
-    return receipts.select(
-        "request_id", "page", F.to_json(F.struct("success", "files")).alias("receipt")
-    )
+    keys = [c for c in receipts.columns if c not in ("success", "files")]
+    return receipts.select(*keys, F.to_json(F.struct("success", "files")).alias("receipt"))
 
 
 def project_intake(projects: DataFrame) -> tuple[DataFrame, DataFrame]:

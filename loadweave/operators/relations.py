@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.functions.ordered import running_total
+
 
 def join_aggregated(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     """Inner join of rows with an aggregate of them on ``key``, safe for hot keys.
@@ -35,14 +37,20 @@ def request_with_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def file_pages(files: DataFrame, page_size: int, *columns: str) -> DataFrame:
-    """request_id, page, files: nested file lists of at most ``page_size`` entries.
+def file_pages(
+    files: DataFrame, page_size: int, *columns: str, by: str = "request_id"
+) -> DataFrame:
+    """``by``, page, files: nested file lists of at most ``page_size`` entries.
 
-    A page holds the files whose id falls into one block of ``page_size``
-    consecutive ids. Ids are unique, so no list can outgrow its page, however
-    many files a request has.
+    Pages are cut by position within the group, in id order, so a group has as many as
+    it needs. Positions come from a running count over ranges: a group of any size is
+    spread over many tasks.
     """
-    return files.groupBy("request_id", F.expr(f"id div {int(page_size)}L").alias("page")).agg(
+    one = F.lit(1).cast("long")
+    narrow = files.select(by, "id", *columns, one.alias("_one"))
+    placed = running_total(narrow, [by], ["id"], "_one", "_place")
+    page = F.expr(f"(_place - 1) div {int(page_size)}L")
+    return placed.groupBy(by, page.alias("page")).agg(
         F.sort_array(F.collect_list(F.struct("id", *columns))).alias("files")
     )
 
@@ -50,13 +58,17 @@ def file_pages(files: DataFrame, page_size: int, *columns: str) -> DataFrame:
 def request_file_lists(requests: DataFrame, files: DataFrame, page_size: int = 1000) -> DataFrame:
     """Requests with nested file pages; a request without files has one empty page."""
     pages = file_pages(files, page_size, "file_type", "original_name", "file_size")
-    filled = pages.join(requests.withColumnRenamed("id", "request_id"), "request_id")
-    empty = (
+    none = F.array().cast(pages.schema["files"].dataType)
+    return (
         requests.withColumnRenamed("id", "request_id")
-        .join(files.select("request_id").distinct(), "request_id", "left_anti")
-        .withColumns({"page": F.lit(0).cast("long"), "files": F.array().cast(pages.schema["files"].dataType)})
+        .join(pages, "request_id", "left")
+        .withColumns(
+            {
+                "page": F.coalesce("page", F.lit(0).cast("long")),
+                "files": F.coalesce("files", none),
+            }
+        )
     )
-    return filled.unionByName(empty)
 
 
 def fk_orphans(files: DataFrame, requests: DataFrame) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadweave import fixed_values as fv
+from loadweave import schemas
 from loadweave.functions import names
+from loadweave.functions.ordered import dense_ids, next_id
+from loadweave.functions.times import stamp
 
 KPI_NAMES = tuple(fv.KPI_FALLBACK)
 
@@ -29,7 +33,13 @@ def kpi_counts(
     of_orders = orders.agg(
         F.count_distinct(company).alias("companies"),
         F.count_if(F.col(status) == ready_status).alias("ready"),
-    ).select(
+    )
+    return kpis_with(of_orders, projects, vehicles)
+
+
+def kpis_with(of_orders: DataFrame, projects: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """The dashboard row from one row of ``companies`` and ``ready`` and two tables to count."""
+    stacked = of_orders.select(
         F.inline(
             F.array(
                 F.struct(F.lit("companies").alias("kpi"), F.col("companies").alias("n")),
@@ -38,7 +48,7 @@ def kpi_counts(
         )
     )
     return fold_kpis(
-        of_orders.unionByName(_count_as(projects, "projects")).unionByName(
+        stacked.unionByName(_count_as(projects, "projects")).unionByName(
             _count_as(vehicles, "vehicles")
         )
     )
@@ -90,16 +100,33 @@ def latest_status(feed: DataFrame) -> DataFrame:
     return last.withColumn("css_class", names.status_class("status"))
 
 
-def company_dim(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """name, code for every company named in a request; code NULL until assigned.
+def company_dim(requests: DataFrame, existing: DataFrame | None, now: datetime) -> DataFrame:
+    """The company table after the names in ``requests``: id, name, code and times.
 
-    Names are trimmed and otherwise compared as they are.
+    Companies already known stay as they are, whether a request names them or not; of
+    several rows with one name the one with the smallest id stays. New names get the
+    ids after the largest, in name order, no code, and ``now`` as both times. Names are
+    trimmed and otherwise compared as they are.
     """
-    found = (
+    named = (
         requests.select(F.trim("company_name").alias("name"))
         .filter(F.col("name") != "")
         .distinct()
     )
+    columns = [F.col(f.name).cast(f.dataType) for f in schemas.COMPANIES.fields]
     if existing is None:
-        return found.withColumn("code", F.lit(None).cast("string"))
-    return found.join(existing.select("name", "code"), "name", "left")
+        known = named.sparkSession.createDataFrame([], schemas.COMPANIES)
+    else:
+        rest = F.struct("id", "code", "created_at", "updated_at")
+        per_name = existing.groupBy(F.trim("name").alias("name")).agg(
+            F.min_by(rest, "id").alias("row")
+        )
+        known = per_name.select("row.id", "name", "row.code", "row.created_at", "row.updated_at")
+    new = named.join(known.select("name"), "name", "left_anti")
+    # one number: the largest id, that of a dropped repeat included
+    start = 1 if existing is None else next_id(existing)
+    at = stamp(now)
+    added = dense_ids(new, ["name"], "id", start).withColumns(
+        {"code": F.lit(None).cast("string"), "created_at": at, "updated_at": at}
+    )
+    return known.select(*columns).unionByName(added.select(*columns))

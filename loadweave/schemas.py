@@ -81,7 +81,7 @@ SLOT_FILE = T.StructType(
 # One landed form submission. submission_id is the natural key of the landing row.
 SUBMISSION = T.StructType(
     [
-        T.StructField("submission_id", T.StringType()),
+        _text("submission_id", {}, required=True),
         _text("company_name", fv.REQUEST_LIMITS, required=True),
         _text("contact_name", fv.REQUEST_LIMITS, required=True),
         _text("mobile", fv.REQUEST_LIMITS, required=True),
@@ -93,6 +93,10 @@ SUBMISSION = T.StructType(
     ]
 )
 
+# As it lands: RAW_TEXT holds a line that is no readable submission.
+RAW_TEXT = "raw_text"
+LANDED = T.StructType([*SUBMISSION.fields, T.StructField(RAW_TEXT, T.StringType())])
+
 # The project form. fleet_size lands as text and is typed by the intake.
 PROJECT_FORM = T.StructType(
     [

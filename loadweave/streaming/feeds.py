@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loadweave import fixed_values as fv
 from loadweave.functions import names
-from loadweave.operators.intake import intake, next_id
+from loadweave.functions.ordered import next_id
+from loadweave.operators.intake import intake, numbered
+from loadweave.operators.reports import kpis_with
 from loadweave.sources.tables import append_batch
 
 
@@ -46,32 +48,79 @@ def _start(df, checkpoint, mode, handle, continuous) -> StreamingQuery:
     return writer.trigger(**trigger).foreachBatch(handle).start()
 
 
+def _log(folder: str, fold: Callable[[DataFrame], DataFrame], every: int):
+    """A batch handler that logs each batch and folds the log every ``every`` batches.
+
+    ``batches`` holds what each batch brought, ``state`` what all batches up to one come
+    to. A repeated batch replaces itself in both.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, f"{folder}/batches", batch_id)
+        if (batch_id + 1) % every == 0:
+            folded = fold(_read_log(batch.sparkSession, folder, batch_id))
+            folded.write.mode("overwrite").parquet(f"{folder}/state/upto={batch_id}")
+
+    return handle
+
+
+def _read_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest state and the batches after it.
+
+    ``before``: only a state older than that batch, for the batch that writes the next one.
+    """
+    log, upto = spark.read.parquet(f"{folder}/batches"), None
+    if _exists(spark, f"{folder}/state"):
+        states = spark.read.parquet(f"{folder}/state")
+        older = states if before is None else states.filter(F.col("upto") < before)
+        # one number, from the folder names
+        upto = older.agg(F.max("upto")).first()[0]
+    if upto is None:
+        return log
+    state = states.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch")
+    return state.unionByName(log.filter(F.col("batch") > upto), allowMissingColumns=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def start_latest_status(
-    feed: DataFrame, folder: str, checkpoint: str, continuous: bool = False
+    feed: DataFrame,
+    folder: str,
+    checkpoint: str,
+    continuous: bool = False,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Keep the last status per id of a feed of id, status, ts, event_id.
 
-    Every batch writes the ids it changed, with the event that decided it.
+    Every batch writes the ids it changed, with the event that decided it. Every
+    ``compact_every`` batches the log is folded, so that reading it costs the ids and
+    a bounded number of batches, however long the stream runs.
     """
     last = feed.groupBy("id").agg(
         F.max_by(F.struct("status", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")
     )
-    changed = last.select("id", "last.*")
-    return _start(
-        changed, checkpoint, "update", lambda df, batch: append_batch(df, folder, batch), continuous
+    handle = _log(folder, _last_per_id, compact_every)
+    return _start(last.select("id", "last.*"), checkpoint, "update", handle, continuous)
+
+
+def _last_per_id(log: DataFrame) -> DataFrame:
+    turn = F.struct("ts", "event_id")
+    last = log.groupBy("id").agg(
+        F.max_by(F.struct("status", "ts", "event_id"), turn).alias("last")
     )
+    return last.select("id", "last.*")
 
 
 def read_latest_status(spark: SparkSession, folder: str) -> DataFrame:
     """id, status, css_class as of the last finished batch."""
-    log = spark.read.parquet(folder)
-    last = log.groupBy("id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    last = _last_per_id(_read_log(spark, folder)).select("id", "status")
     return last.withColumn("css_class", names.status_class("status"))
 
 
-def with_landing_time(feed: DataFrame) -> DataFrame:
-    """The rows of a file feed with the time their file landed, as ``landed_at``."""
-    return feed.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
+_NEXT = ("request_id", "file_id")
 
 
 def start_submissions(
@@ -79,47 +128,60 @@ def start_submissions(
     now: Callable[[], datetime],
     folder: str,
     checkpoint: str,
-    delay: str = "1 day",
     run: str = "",
     continuous: bool = False,
 ) -> StreamingQuery:
     """Turn landed submissions into requests, files and rejects, with the batch intake.
 
-    ``feed`` has the submission columns and ``landed_at``. A submission that lands
-    again within ``delay`` is dropped. Ids go on from the batches before, so a
-    repeated batch gets the ids it had.
+    ``feed`` has the submission columns. No row is late and none is lost: each lands in
+    ``requests``, in ``rejected``, or is a copy of a submission taken before, in this batch
+    or any earlier one; those are looked up by id in a table of ids. Every batch also
+    writes the next free ids, so it reads one row of the batch before, and a repeated
+    batch gets the ids it had.
     """
-    once = feed.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["submission_id"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the intake reads its input several times: texts are parsed once, into a table
-        append_batch(batch, f"{folder}/landed", batch_id)
-        landed = spark.read.schema(batch.schema).parquet(f"{folder}/landed/batch={batch_id}")
-        if batch_id > 0 and landed.isEmpty():
-            return
+        append_batch(numbered(batch), f"{folder}/landed", batch_id)
+        schema = numbered(batch).schema
+        landed = spark.read.schema(schema).parquet(f"{folder}/landed/batch={batch_id}")
+        start = dict.fromkeys(_NEXT, 1)
+        if batch_id > 0:
+            seen = spark.read.schema("submission_id string, batch int").parquet(f"{folder}/ids")
+            seen = seen.filter(F.col("batch") < batch_id)
+            landed = landed.join(seen, "submission_id", "left_anti")
+            start = spark.read.parquet(f"{folder}/next_ids/batch={batch_id - 1}").first().asDict()
         requests, files, rejected, bad_files = intake(
-            landed.drop("landed_at"),
-            now(),
-            _next_id(spark, f"{folder}/requests", batch_id),
-            # files that fail a check have used up their ids as well
-            max(_next_id(spark, f"{folder}/{t}", batch_id) for t in ("files", "rejected_files")),
-            run,
+            landed, now(), start["request_id"], start["file_id"], run
         )
         append_batch(requests, f"{folder}/requests", batch_id, ["status"])
         append_batch(files, f"{folder}/files", batch_id, ["file_type"])
         append_batch(rejected, f"{folder}/rejected", batch_id)
         append_batch(bad_files, f"{folder}/rejected_files", batch_id)
+        ids = landed.select("submission_id").dropna().distinct()
+        append_batch(ids, f"{folder}/ids", batch_id)
+        # files that fail a check have used up their ids as well
+        free = {
+            "request_id": _after(spark, start["request_id"], batch_id, f"{folder}/requests"),
+            "file_id": _after(
+                spark, start["file_id"], batch_id, f"{folder}/files", f"{folder}/rejected_files"
+            ),
+        }
+        schema = ", ".join(f"{c} long" for c in _NEXT)
+        append_batch(
+            spark.createDataFrame([tuple(free[c] for c in _NEXT)], schema).coalesce(1),
+            f"{folder}/next_ids",
+            batch_id,
+        )
 
-    return _start(once, checkpoint, "append", handle, continuous)
+    return _start(feed, checkpoint, "append", handle, continuous)
 
 
-def _next_id(spark: SparkSession, table: str, batch_id: int) -> int:
-    """First free id of a table, looking at the batches before ``batch_id``."""
-    if batch_id == 0:
-        return 1
-    known = spark.read.schema("id bigint, batch int").parquet(table)
-    return next_id(known.filter(F.col("batch") < batch_id))
+def _after(spark: SparkSession, start: int, batch_id: int, *tables: str) -> int:
+    """First id that a batch has left free."""
+    read = spark.read.schema("id bigint")
+    return max(start, *[next_id(read.parquet(f"{t}/batch={batch_id}")) for t in tables])
 
 
 def start_intake(
@@ -127,29 +189,35 @@ def start_intake(
     load_requests: Callable[[], DataFrame],
     folder: str,
     checkpoint: str,
-    delay: str = "1 day",
     continuous: bool = False,
 ) -> StreamingQuery:
     """Take in file rows once each, marked by whether their request is ``known``.
 
-    ``files`` has id, request_id, file_type and an instant created_at. Repeats of an
-    id are dropped within ``delay``. The requests are loaded again for every batch.
+    ``files`` has id, request_id and file_type. A row whose id was taken before, in this
+    batch or any earlier one, is a repeat; rows without id all stay. No row is late. The
+    requests are loaded again for every batch.
     """
-    once = files.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        once = batch.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+        if batch_id > 0:
+            seen = batch.sparkSession.read.schema("id bigint, batch int").parquet(folder)
+            seen = seen.filter((F.col("batch") < batch_id) & F.col("id").isNotNull())
+            once = once.join(seen.select("id"), "id", "left_anti")
+        rows = once.unionByName(batch.filter(F.col("id").isNull()))
         parents = load_requests().select(F.col("id").alias("request_id"), F.lit(True).alias("known"))
-        marked = batch.join(parents, "request_id", "left").withColumn(
+        marked = rows.join(parents, "request_id", "left").withColumn(
             "known", F.coalesce("known", F.lit(False))
         )
         append_batch(marked, folder, batch_id, ["known", "file_type"])
 
-    return _start(once, checkpoint, "append", handle, continuous)
+    return _start(files, checkpoint, "append", handle, continuous)
 
 
-def read_intake(spark: SparkSession, folder: str, known: bool = True) -> DataFrame:
-    """File rows taken in so far: those with a request, or those without."""
-    return spark.read.parquet(folder).filter(F.col("known") == known).drop("known", "batch")
+def read_intake(spark: SparkSession, folder: str, known: bool | None = None) -> DataFrame:
+    """File rows taken in so far: all with their mark, or those with, or without, a request."""
+    rows = spark.read.parquet(folder).drop("batch").withColumn("known", F.col("known").cast("boolean"))
+    return rows if known is None else rows.filter(F.col("known") == known).drop("known")
 
 
 def start_kpis(
@@ -160,25 +228,33 @@ def start_kpis(
     company: str = "company",
     status: str = "status",
     continuous: bool = False,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Keep order counts per company; the dashboard counts are read off them.
 
     Counting per company keeps the number of companies exact: the state grows with
-    the companies, not with the orders.
+    the companies, not with the orders. The log is folded as for the latest status.
     """
     counts = orders.groupBy(F.col(company).alias("company")).agg(
         F.count("*").alias("orders"), F.count_if(F.col(status) == ready_status).alias("ready")
     )
-    return _start(
-        counts, checkpoint, "update", lambda df, batch: append_batch(df, folder, batch), continuous
+    handle = _log(folder, _last_per_company, compact_every)
+    return _start(counts, checkpoint, "update", handle, continuous)
+
+
+def _last_per_company(log: DataFrame) -> DataFrame:
+    last = log.groupBy("company").agg(
+        F.max_by(F.struct("orders", "ready"), "batch").alias("last")
     )
+    return last.select("company", "last.*")
 
 
-def read_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    """companies, orders (ready ones) as of the last finished batch."""
-    log = spark.read.parquet(folder)
-    now = log.groupBy("company").agg(F.max_by("ready", "batch").alias("ready"))
-    return now.agg(
+def read_kpis(
+    spark: SparkSession, folder: str, projects: DataFrame, vehicles: DataFrame
+) -> DataFrame:
+    """One row like ``kpi_counts``: orders and companies as of the last finished batch."""
+    now = _last_per_company(_read_log(spark, folder)).agg(
         F.count("company").alias("companies"),
-        F.coalesce(F.sum("ready"), F.lit(0).cast("long")).alias("orders"),
+        F.coalesce(F.sum("ready"), F.lit(0).cast("long")).alias("ready"),
     )
+    return kpis_with(now, projects, vehicles)

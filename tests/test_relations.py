@@ -1,6 +1,9 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from tests.helpers import plan, rows, settings
 
+from loadweave import schemas
 from loadweave.operators import listing, relations, reports
 
 SMALL_SKEW = {
@@ -54,7 +57,7 @@ def test_hot_keys_give_whole_results(spark):
         assert lost.filter("file_path = 'uploads/0/p'").count() == 19_999
         lists = relations.request_file_lists(parents(spark, 600), files, 100)
         whole = lists.agg(F.sum(F.size("files")), F.max(F.size("files")), F.count_distinct("request_id"))
-        assert tuple(whole.first()) == (60_000, 34, 600)
+        assert tuple(whole.first()) == (60_000, 100, 600)
 
 
 def test_requests_without_files_stay(spark):
@@ -108,12 +111,22 @@ def test_kpis_and_fallback(spark):
     assert "Cartesian" not in plan(kpis) and "Join" not in plan(kpis)
 
 
-def test_company_names_are_trimmed_and_compared_exactly(spark):
-    names = [("A",), (" A ",), ("a",), ("",), (None,)]
+def test_company_table_is_complete(spark):
+    now = datetime(2026, 1, 1)
+    names = [("A",), (" A ",), ("a",), ("",), (None,), ("D",)]
     df = spark.createDataFrame(names, "company_name string")
-    assert rows(reports.company_dim(df)) == [("A", None), ("a", None)]
-    known = spark.createDataFrame([("A", "C1")], "name string, code string")
-    assert rows(reports.company_dim(df, known)) == [("A", "C1"), ("a", None)]
+    assert rows(reports.company_dim(df, None, now), "id", "name", "code") == [
+        (1, "A", None), (2, "D", None), (3, "a", None)
+    ]
+    known = spark.createDataFrame(
+        [(7, "A", "C1"), (9, "B", "C2"), (8, "B", "C3")], "id long, name string, code string"
+    ).withColumns({c: F.lit("2024-01-01").cast("timestamp") for c in ("created_at", "updated_at")})
+    got = reports.company_dim(df, known, now)
+    assert got.columns == schemas.COMPANIES.names
+    # known companies stay, one row per name; new ones follow the largest id
+    assert sorted(rows(got, "id", "name", "code", F.year("created_at"))) == [
+        (7, "A", "C1", 2024), (8, "B", "C3", 2024), (10, "D", None, 2026), (11, "a", None, 2026)
+    ]
 
 
 def test_intake_stats_cover_all_types(spark):

@@ -2,9 +2,8 @@ import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from tests.helpers import rows
+from tests.helpers import plan, rows
 
-from loadweave.functions.times import utc_instant
 from loadweave import schemas
 from loadweave.operators import relations, reports
 from loadweave.plans import standins
@@ -35,7 +34,7 @@ def test_latest_status_survives_restarts(spark, tmp_path):
         run_status(spark, root)
     batch = reports.latest_status(standins.status_feed(spark, SF))
     assert rows(feeds.read_latest_status(spark, f"{root}/log")) == rows(batch)
-    assert spark.read.parquet(f"{root}/log").select("batch").distinct().count() == 3
+    assert spark.read.parquet(f"{root}/log/batches").select("batch").distinct().count() == 3
 
 
 def test_latest_status_in_many_batches(spark, tmp_path):
@@ -59,18 +58,16 @@ def test_intake_takes_each_file_once(spark, tmp_path):
             F.col("event_id").alias("id"),
             F.col("user_id").alias("request_id"),
             F.col("event_type").alias("file_type"),
-            utc_instant("ts").alias("created_at"),
         )
         feeds.start_intake(
             rows_in,
             lambda: spark.read.parquet(f"{root}/requests"),
             f"{root}/files",
             f"{root}/cp",
-            delay="400 days",
         ).awaitTermination()
     files = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("request_id"))
     orphans = relations.fk_orphans(files, known)
-    taken = feeds.read_intake(spark, f"{root}/files")
+    taken = feeds.read_intake(spark, f"{root}/files", known=True)
     lost = feeds.read_intake(spark, f"{root}/files", known=False)
     assert rows(lost, "id") == rows(orphans, "id")
     assert taken.count() + lost.count() == events.count()
@@ -79,16 +76,38 @@ def test_intake_takes_each_file_once(spark, tmp_path):
 
 def test_kpis_match_the_batch(spark, tmp_path):
     root = str(tmp_path)
-    orders = standins.table(spark, SF, "orders")
-    orders.repartition(3).write.parquet(f"{root}/in")
+    orders, nation, supplier = (standins.table(spark, SF, t) for t in ("orders", "nation", "supplier"))
+    orders.repartition(5).write.parquet(f"{root}/in")
     stream = feeds.file_feed(spark, f"{root}/in", orders.schema, files_per_batch=1)
     feeds.start_kpis(
-        stream, "O", f"{root}/log", f"{root}/cp", company="o_custkey", status="o_orderstatus"
+        stream,
+        "O",
+        f"{root}/log",
+        f"{root}/cp",
+        company="o_custkey",
+        status="o_orderstatus",
+        compact_every=2,
     ).awaitTermination()
-    got = feeds.read_kpis(spark, f"{root}/log").first()
-    assert got["companies"] == orders.select("o_custkey").distinct().count()
-    assert got["orders"] == orders.filter("o_orderstatus = 'O'").count()
-    assert spark.read.parquet(f"{root}/log").select("batch").distinct().count() == 3
+    live = feeds.read_kpis(spark, f"{root}/log", nation, supplier)
+    batch = reports.kpi_counts(nation, orders, supplier, "O", "o_custkey", "o_orderstatus")
+    assert rows(live) == rows(batch)
+    assert spark.read.parquet(f"{root}/log/batches").select("batch").distinct().count() == 5
+    assert rows(spark.read.parquet(f"{root}/log/state").select("upto").distinct()) == [(1,), (3,)]
+
+
+def test_folding_the_log_keeps_the_answer(spark, tmp_path):
+    root = str(tmp_path)
+    for _ in split_events(spark, f"{root}/in", 5):
+        pass
+    events = standins.table(spark, SF, "events")
+    feed = standins.as_status_feed(feeds.file_feed(spark, f"{root}/in", events.schema, files_per_batch=1))
+    feeds.start_latest_status(feed, f"{root}/log", f"{root}/cp", compact_every=2).awaitTermination()
+    batch = reports.latest_status(standins.status_feed(spark, SF))
+    found = feeds.read_latest_status(spark, f"{root}/log")
+    assert rows(found) == rows(batch)
+    # what was read is the newest state and the one batch after it
+    read = {p.split("/log/")[1].split("/part")[0] for p in found.inputFiles()}
+    assert read <= {"state/upto=3", "batches/batch=4"} or "PartitionFilters: [isnotnull(upto" in plan(found)
 
 
 def test_landed_bytes_as_a_stream(spark, tmp_path):
@@ -120,21 +139,45 @@ def test_submissions_keep_ids_dense_over_batches(spark, tmp_path):
 
     bad_slot = {"filename": "x" * 250, "content_type": None, "size": 1}
     batches = [
-        [form("a"), form("b", gps_file=bad_slot), form("bad", mobile="")],
-        [form("a"), form("c")],
-        [form("e"), form("d"), form("d")],
+        [form("a"), form("b", gps_file=bad_slot), form("bad", mobile=""), form(None)],
+        [form("a"), form("c"), "half a line", form(None)],
+        [form("e"), form("d"), form("d"), form("bad")],
     ]
     for n, lines in enumerate(batches):
         (landing / f"{n}.json").write_text("\n".join(lines))
-        feed = feeds.file_feed(spark, str(landing), schemas.SUBMISSION, "json")
+        feed = feeds.file_feed(spark, str(landing), schemas.LANDED, "json")
         feeds.start_submissions(
-            feeds.with_landing_time(feed), lambda: datetime(2026, 1, 1), f"{root}/t", f"{root}/cp"
+            feed, lambda: datetime(2026, 1, 1), f"{root}/t", f"{root}/cp"
         ).awaitTermination()
     requests = spark.read.parquet(f"{root}/t/requests")
-    # every run ends with a batch without data, which moves the watermark
-    assert rows(requests, "batch", "id") == [(0, 1), (0, 2), (2, 3), (4, 4), (4, 5)]
+    assert rows(requests, "batch", "id") == [(0, 1), (0, 2), (1, 3), (2, 4), (2, 5)]
     files = spark.read.parquet(f"{root}/t/files")
     bad = spark.read.parquet(f"{root}/t/rejected_files")
     assert sorted(rows(files, "id") + rows(bad, "id")) == [(i,) for i in range(1, 7)]
     assert rows(relations.fk_orphans(files, requests)) == []
-    assert rows(spark.read.parquet(f"{root}/t/rejected"), "submission_id") == [("bad",)]
+    # each row without id is a reject of its own, copies of what was taken leave none
+    rejected = spark.read.parquet(f"{root}/t/rejected")
+    assert rows(rejected, "batch", "submission_id") == sorted(
+        [(0, "bad"), (0, None), (1, None), (1, None)], key=repr
+    )
+    assert rows(spark.read.parquet(f"{root}/t/next_ids"), "batch", "request_id", "file_id") == [
+        (0, 3, 4), (1, 4, 5), (2, 6, 7)
+    ]
+
+
+def test_late_rows_are_taken_with_default_settings(spark, tmp_path):
+    root = str(tmp_path)
+    events = standins.table(spark, SF, "events")
+    for part in split_events(spark, f"{root}/in"):
+        pass
+    # the newest rows land first: by their own times all others would be late
+    feed = feeds.file_feed(spark, f"{root}/in", events.schema, files_per_batch=1).select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("request_id"),
+        F.col("event_type").alias("file_type"),
+        F.col("ts").alias("created_at"),
+    )
+    known = standins.table(spark, SF, "supplier").select(F.col("s_suppkey").alias("id"))
+    feeds.start_intake(feed, lambda: known, f"{root}/files", f"{root}/cp").awaitTermination()
+    taken = feeds.read_intake(spark, f"{root}/files")
+    assert taken.count() == events.count() and taken.select("id").distinct().count() == events.count()
