@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from loadweave import fixed_values as fv
 
+_NOW_US = "epoch_us(TIMESTAMP '2026-01-01')"
+
 _REQUESTS = """
     SELECT o_orderkey AS id, c_name AS company_name, o_orderpriority AS contact_name,
            CAST(o_custkey AS VARCHAR) AS mobile, c_mktsegment AS industry,
@@ -20,6 +22,11 @@ _FILES = """
     FROM events
 """
 
+# files with their position in the request, from 0
+_PLACED = f"""
+    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY id) - 1 AS place FROM ({_FILES})
+"""
+
 _LABELLED = "SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 _CUSTOMERS = "SELECT c_custkey AS id, c_name AS company_name, c_mktsegment AS status FROM customer"
@@ -147,13 +154,15 @@ _RECONCILED = f"""
                n_chars AS row_bytes
         FROM ({_LABELLED}) WHERE quality IS NOT NULL
         UNION ALL
-        SELECT 'uploads/' || page_id || '/' || page_id || '_gps_page.html',
+        SELECT CASE WHEN strlen(html) < 1000 THEN 'archive/' || page_id || '/page.html'
+                    ELSE 'uploads/' || page_id || '/' || page_id || '_gps_page.html' END,
                CAST(strlen(html) AS BIGINT)
         FROM pages
     ),
     reconciled AS (
         SELECT COALESCE(d.path, c.path) AS path,
-               CASE WHEN c.path IS NULL THEN 'bytes_without_row'
+               CASE WHEN COALESCE(d.path, c.path) NOT LIKE 'uploads/%' THEN 'unrecognised_path'
+                    WHEN c.path IS NULL THEN 'bytes_without_row'
                     WHEN d.path IS NULL THEN 'row_without_bytes'
                     WHEN disk_bytes = row_bytes THEN 'ok' ELSE 'size_mismatch' END AS class,
                disk_bytes, row_bytes,
@@ -204,7 +213,8 @@ def all_sql() -> dict[str, str]:
     sql["request_intake"] = f"""
         SELECT row_number() OVER (ORDER BY submission_id) AS id, company_name, contact_name, mobile,
                COALESCE(email, '') AS email, COALESCE(industry, '') AS industry,
-               md5(goal) AS goal_md5, 'SUBMITTED' AS status
+               md5(goal) AS goal_md5, 'SUBMITTED' AS status,
+               {_NOW_US} AS created_us, {_NOW_US} AS updated_us
         FROM ({_SUBMISSIONS}) WHERE contact_name IS NOT NULL
     """
     sql["rejected_submissions"] = f"""
@@ -232,7 +242,7 @@ def all_sql() -> dict[str, str]:
                    || '_' || original_name AS stored_name,
                'uploads/' || request_id || '/' || request_id || '_' || file_type || '_'
                    || original_name AS file_path,
-               'text/csv' AS content_type, file_size
+               'text/csv' AS content_type, file_size, {_NOW_US} AS created_us, {_NOW_US} AS updated_us
         FROM slots
     """
     kinds = "(['orders', 'fleet', 'drivers', 'gps', 'other'])[CAST(doc_id % 5 + 1 AS INTEGER)]"
@@ -248,12 +258,12 @@ def all_sql() -> dict[str, str]:
         FROM documents
     """
     sql["upload_receipt"] = f"""
-        SELECT request_id, id // 1000 AS page,
+        SELECT request_id, place // 1000 AS page,
                '{{"success":true,"files":[' || string_agg(
                    '{{"id":' || id || ',"original_name":"' || original_name || '","stored_name":"'
                    || stored_name || '","file_type":"' || file_type || '"}}', ',' ORDER BY id)
                || ']}}' AS receipt
-        FROM ({_FILES}) GROUP BY request_id, id // 1000
+        FROM ({_PLACED}) GROUP BY request_id, place // 1000
     """
     sql["colliding_paths"] = f"""
         SELECT file_path, COUNT(*) AS writers, MAX(id) AS kept_id
@@ -309,10 +319,10 @@ def all_sql() -> dict[str, str]:
     """
     sql["request_file_lists"] = f"""
         WITH pages AS (
-            SELECT request_id, id // 1000 AS page, '[' || string_agg(
+            SELECT request_id, place // 1000 AS page, '[' || string_agg(
                 '{{"id":' || id || ',"file_type":"' || file_type || '","original_name":"'
                 || original_name || '","file_size":' || file_size || '}}', ',' ORDER BY id) || ']' AS files
-            FROM ({_FILES}) GROUP BY request_id, id // 1000
+            FROM ({_PLACED}) GROUP BY request_id, place // 1000
         )
         SELECT c.id AS request_id, company_name, status, COALESCE(page, 0) AS page,
                COALESCE(files, '[]') AS files
@@ -410,13 +420,19 @@ def all_sql() -> dict[str, str]:
     early = "SELECT o_orderkey AS id, NULLIF(o_orderstatus, 'P') AS status, o_orderdate FROM orders"
     sql["evolve_up"] = f"""
         SELECT id, status, epoch_us(o_orderdate) AS created_us,
+               CASE WHEN status IS NULL THEN -1 ELSE {_NOW_US} END AS updated_us,
                CASE WHEN status IS NULL THEN 'status:required' ELSE '' END AS reasons
         FROM ({early})
     """
     sql["evolve_down"] = (
         f"SELECT id, status, o_orderdate AS created_at FROM ({early}) WHERE status IS NOT NULL"
     )
-    sql["layout"] = f"SELECT * FROM ({_REQUESTS}) WHERE status = 'P'"
+    found = "COUNT(*) AS rows, CAST(SUM(id) AS BIGINT) AS id_sum, MIN(id) AS first_id, MAX(id) AS last_id"
+    sql["layout"] = f"""
+        SELECT 'requests' AS "table", status AS part, {found} FROM ({_REQUESTS}) GROUP BY status
+        UNION ALL SELECT 'files', file_type, {found} FROM ({_FILES}) GROUP BY file_type
+        UNION ALL SELECT 'bucketed', '', {found} FROM ({_CUSTOMERS})
+    """
 
     # reports
     sql["kpi_counts"] = _KPIS
@@ -434,9 +450,18 @@ def all_sql() -> dict[str, str]:
         SELECT request_id, COUNT(*) AS files, CAST(SUM(file_size) AS BIGINT) AS bytes, {per_type}
         FROM ({_FILES}) GROUP BY request_id
     """
-    sql["company_dim"] = """
-        SELECT DISTINCT trim(c_name) AS name, s_name AS code
-        FROM customer LEFT JOIN supplier ON trim(c_name) = 'Customer#' || substr(s_name, 10, 9)
+    sql["company_dim"] = f"""
+        WITH known AS (
+            SELECT s_suppkey AS id, 'Customer#' || substr(s_name, 10, 9) AS name, s_name AS code FROM supplier
+            UNION ALL SELECT n_nationkey + 5000000, n_name, NULL FROM nation
+        ),
+        new AS (SELECT DISTINCT trim(c_name) AS name FROM customer
+                WHERE trim(c_name) NOT IN (SELECT name FROM known))
+        SELECT id, name, code, epoch_us(TIMESTAMP '2024-01-01') AS created_us,
+               epoch_us(TIMESTAMP '2024-01-01') AS updated_us FROM known
+        UNION ALL
+        SELECT (SELECT MAX(id) FROM known) + row_number() OVER (ORDER BY name), name, NULL,
+               {_NOW_US}, {_NOW_US} FROM new
     """
     sql["latest_status"] = _LATEST
 
@@ -461,21 +486,89 @@ def all_sql() -> dict[str, str]:
         SELECT COALESCE(zone, -1) AS zone, CAST(GROUPING(zone) AS INTEGER) AS is_total, {_OUTCOME}
         FROM {_WITH_LEFT_OVER} GROUP BY ROLLUP (zone)
     """
-    sql["run_log"] = f"""WITH {_ALLOCATION}, summary AS (SELECT {_OUTCOME} FROM {_WITH_LEFT_OVER})
-        SELECT 'success' AS status,
+    def digest(kind, *columns):
+        values = " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '-')" for c in columns)
+        return f"CAST('0x' || substr(sha256('{kind}|' || {values}), 1, 15) AS BIGINT)"
+
+    ts = "strftime(order_ts, '%Y-%m-%d %H:%M:%S')"
+    sql["run_log"] = f"""WITH {_ALLOCATION}, summary AS (SELECT {_OUTCOME} FROM {_WITH_LEFT_OVER}),
+        inputs AS (
+            SELECT {digest("order", "zone", "order_id", ts, "load")} AS h FROM ({_ORDERS_IN})
+            UNION ALL SELECT {digest("vehicle", "zone", "vehicle_id", "capacity")} FROM ({_FLEET})
+        ),
+        digest AS (SELECT SUM(h::HUGEINT) AS digest, COUNT(*) AS input_rows FROM inputs)
+        SELECT 'run-' || substr(sha256('queue=order_ts|' || digest || '|' || input_rows), 1, 16) AS run_id,
+               'success' AS status,
                allocated || ' orders allocated, ' || remaining || ' left for review, '
                    || vehicles_used || ' of ' || vehicles_total || ' vehicles used' AS message,
                'queue=order_ts' AS params, allocated, remaining, vehicles_used, vehicles_total,
-               efficiency_bp
-        FROM summary
+               efficiency_bp, {_NOW_US} AS run_us
+        FROM summary, digest
     """
 
     # streams, as their batch twins
     sql["latest_status_stream"] = _LATEST
-    sql["submission_stream"] = sql["request_file_append"]
+    outcome = f"""
+        SELECT 'request' AS part, row_number() OVER (ORDER BY submission_id) AS id, md5(goal) AS text,
+               '' AS reasons
+        FROM ({_SUBMISSIONS}) WHERE contact_name IS NOT NULL
+        UNION ALL SELECT 'file', id, file_path, '' FROM ({sql["request_file_append"]})
+        UNION ALL
+        SELECT 'reject', CAST(submission_id AS BIGINT), '', 'contact_name:required'
+        FROM ({_SUBMISSIONS}) WHERE contact_name IS NULL
+    """
+    sql["submission_stream"] = outcome
+    # copies leave no trace; rows without id and half lines come back one by one
+    sql["intake_outcome"] = f"""{outcome}
+        UNION ALL
+        SELECT 'reject', -1, '', 'submission_id:required' FROM ({_LABELLED}) WHERE toxic = 1
+        UNION ALL
+        SELECT 'reject', -1,
+               md5(substr('{{"submission_id":"' || lpad(CAST(doc_id AS VARCHAR), 15, '0'), 1, 30)),
+               'line:unreadable,submission_id:required,company_name:required,'
+                   || 'contact_name:required,mobile:required'
+        FROM documents WHERE lang = 'de'
+    """
     sql["intake_stream"] = """
-        SELECT event_id AS id, user_id AS request_id, event_type AS file_type FROM events
-        WHERE user_id IN (SELECT s_suppkey FROM supplier)
+        SELECT event_id AS id, user_id AS request_id, event_type AS file_type,
+               user_id IN (SELECT s_suppkey FROM supplier) AS known FROM events
+    """
+    sql["kpi_stream"] = _KPIS
+
+    kind_of = (
+        "CASE event_type WHEN 'click' THEN 'orders' WHEN 'error' THEN 'fleet' WHEN 'purchase' THEN 'drivers'"
+        " WHEN 'signup' THEN 'gps' ELSE event_type END"
+    )
+    call = "user_id || '-' || strftime(ts, '%Y%m%d')"
+    unique = f"""sha256('["' || upload_id || '","' || position || '","same.json"]')"""
+    sql["upload_intake"] = f"""
+        WITH files AS (
+            SELECT {call} AS upload_id, user_id AS request_id, event_id AS position, {kind_of} AS file_type,
+                   row_number() OVER (ORDER BY {call}, event_id) AS id,
+                   user_id IN (SELECT s_suppkey FROM supplier) AS known
+            FROM events
+        ),
+        stored AS (
+            SELECT *, substr({unique}, 1, 32) || '.json' AS stored_name FROM files
+        ),
+        placed AS (
+            SELECT *, (row_number() OVER (PARTITION BY upload_id ORDER BY id) - 1) // 1000 AS page
+            FROM stored WHERE file_type <> 'view' AND known
+        )
+        SELECT CASE WHEN file_type = 'view' THEN 'reject' WHEN known THEN 'file' ELSE 'orphan' END AS part,
+               upload_id, id, 'uploads/' || request_id || '/' || stored_name AS text, {_NOW_US} AS updated_us
+        FROM stored
+        UNION ALL
+        SELECT 'receipt', upload_id, page, md5('{{"success":true,"files":[' || string_agg(
+                   '{{"id":' || id || ',"original_name":"same.json","stored_name":"' || stored_name
+                   || '","file_type":"' || file_type || '"}}', ',' ORDER BY id) || ']}}'), -1
+        FROM placed GROUP BY upload_id, page
+    """
+    sql["disk_manifest"] = """
+        SELECT 'uploads/' || s_suppkey || '/' || s_suppkey || '_fleet_s ' || s_name || '.txt' AS path,
+               CAST(CASE WHEN s_acctbal >= 0 THEN strlen(s_name) ELSE 0 END AS BIGINT) AS size,
+               s_suppkey AS request_id, 'form' AS layout, 'fleet' AS file_type,
+               's ' || s_name || '.txt' AS original_name
+        FROM supplier
     """
-    sql["kpi_stream"] = f"SELECT companies, orders FROM ({_KPIS})"
     return sql

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave import schemas
 from loadweave.functions import names
 from loadweave.functions.ordered import dense_ids
 from loadweave.functions.times import utc_instant
@@ -80,10 +82,8 @@ def _submissions(spark, sf_dir):
 
 @_register
 def request_intake(spark, sf_dir) -> DataFrame:
-    landed = pin(_submissions(spark, sf_dir))
-    valid, _ = quality.split_valid(intake.check_submissions(landed))
-    rows = intake.request_rows(valid, NOW)
-    return rows.select(
+    requests, _, _, _ = intake.intake(_submissions(spark, sf_dir), NOW)
+    return requests.select(
         "id",
         "company_name",
         "contact_name",
@@ -92,9 +92,37 @@ def request_intake(spark, sf_dir) -> DataFrame:
         "industry",
         F.md5("goal").alias("goal_md5"),
         "status",
+        F.unix_micros("created_at").alias("created_us"),
+        F.unix_micros("updated_at").alias("updated_us"),
     )
 
 
+def _outcome(requests, files, rejected, bad_files) -> DataFrame:
+    """What an intake has made of its rows, one row each, told apart by ``part``."""
+    reasons = F.array_join("reasons", ",")
+    none = F.lit(-1).cast("long")
+    text = F.coalesce(F.md5(schemas.RAW_TEXT), F.lit(""))
+    parts = [
+        requests.select(F.lit("request").alias("part"), "id", F.md5("goal").alias("text"), F.lit("").alias("reasons")),
+        files.select(F.lit("file").alias("part"), "id", F.col("file_path").alias("text"), F.lit("").alias("reasons")),
+        rejected.select(
+            F.lit("reject").alias("part"),
+            F.coalesce(F.col("submission_id").try_cast("long"), none).alias("id"),
+            text.alias("text"),
+            reasons.alias("reasons"),
+        ),
+        bad_files.select(F.lit("file_reject").alias("part"), "id", F.col("file_path").alias("text"), reasons.alias("reasons")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_register
+def intake_outcome(spark, sf_dir) -> DataFrame:
+    """All that comes of the landed submissions, broken lines and copies among them."""
+    texts = standins.rough_submissions(spark, sf_dir)
+    return _outcome(*intake.intake(landing.parse_submissions(texts, "value"), NOW, run=RUN))
+
+
 @_register
 def rejected_submissions(spark, sf_dir) -> DataFrame:
     _, rejected = quality.split_valid(intake.check_submissions(_submissions(spark, sf_dir)))
@@ -124,11 +152,43 @@ def slot_filter(spark, sf_dir) -> DataFrame:
 
 @_register
 def request_file_append(spark, sf_dir) -> DataFrame:
-    landed = pin(_submissions(spark, sf_dir))
-    _, files, _, _ = intake.intake(landed, NOW, run=RUN)
+    _, files, _, _ = intake.intake(_submissions(spark, sf_dir), NOW, run=RUN)
     folder = _fresh_folder(spark, "request_files")
     tables.append_batch(files, folder, 0, ["file_type"])
-    return tables.read_table(spark, folder).drop("batch", "created_at", "updated_at")
+    return _stamped(tables.read_table(spark, folder).drop("batch"))
+
+
+def _stamped(rows: DataFrame) -> DataFrame:
+    """The audit times as microseconds, which mean the same in every zone."""
+    return rows.select(
+        *[c for c in rows.columns if c not in ("created_at", "updated_at")],
+        F.unix_micros("created_at").alias("created_us"),
+        F.unix_micros("updated_at").alias("updated_us"),
+    )
+
+
+@_register
+def upload_intake(spark, sf_dir) -> DataFrame:
+    """events as uploads: one call per user and day, files of unknown requests split off."""
+    stored, orphans, rejected, receipts = intake.upload_intake(
+        standins.uploads(spark, sf_dir), _parents(spark, sf_dir), NOW
+    )
+    none = F.lit(-1).cast("long")
+
+    def files(df, part):
+        return _stamped(df).select(
+            F.lit(part).alias("part"), "upload_id", "id", F.col("file_path").alias("text"), "updated_us"
+        )
+
+    answers = intake.receipt_json(receipts).select(
+        F.lit("receipt").alias("part"),
+        "upload_id",
+        F.col("page").alias("id"),
+        F.md5("receipt").alias("text"),
+        none.alias("updated_us"),
+    )
+    parts = [files(stored, "file"), files(orphans, "orphan"), files(rejected, "reject"), answers]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @_register
@@ -136,6 +196,17 @@ def file_manifest(spark, sf_dir) -> DataFrame:
     return landing.parse_manifest(standins.landed_documents(spark, sf_dir))
 
 
+@_register
+def disk_manifest(spark, sf_dir) -> DataFrame:
+    """Suppliers as files, written to the shared folder, listed there and parsed."""
+    root = _fresh_folder(spark, "disk").removeprefix("file:")
+    written = pin(landing.write_files(standins.supplier_files(spark, sf_dir), root))
+    listed = landing.list_folders(spark, f"{root}/uploads")
+    manifest = landing.parse_manifest(listed.join(written.select(
+        F.concat(F.lit(f"{root}/"), "path").alias("path")), "path", "left_semi"))
+    return manifest.withColumn("path", names.relative_path("path"))
+
+
 @_register
 def upload_receipt(spark, sf_dir) -> DataFrame:
     return intake.receipt_json(intake.upload_receipt(standins.request_files(spark, sf_dir)))
@@ -337,8 +408,7 @@ def audit_upsert(spark, sf_dir) -> DataFrame:
     feed = standins.status_feed(spark, sf_dir).select(
         "id", "status", F.struct("ts", "event_id").alias("turn")
     )
-    changes = change.latest_changes(feed, "id", "turn")
-    return change.audit_upsert(standins.vehicle_snapshot(spark, sf_dir), changes, NOW)
+    return change.audit_upsert(standins.vehicle_snapshot(spark, sf_dir), feed, NOW, order="turn")
 
 
 def _early_requests(spark, sf_dir):
@@ -353,12 +423,17 @@ def _early_requests(spark, sf_dir):
 def evolve_up(spark, sf_dir) -> DataFrame:
     evolved, rejected = change.evolve_up(_early_requests(spark, sf_dir), NOW)
     kept = evolved.select(
-        "id", "status", F.unix_micros("created_at").alias("created_us"), F.lit("").alias("reasons")
+        "id",
+        "status",
+        F.unix_micros("created_at").alias("created_us"),
+        F.unix_micros("updated_at").alias("updated_us"),
+        F.lit("").alias("reasons"),
     )
     broken = rejected.select(
         "id",
         "status",
         F.unix_micros(utc_instant("created_at")).alias("created_us"),
+        F.lit(-1).cast("long").alias("updated_us"),
         F.array_join("reasons", ",").alias("reasons"),
     )
     return kept.unionByName(broken)
@@ -374,7 +449,32 @@ def evolve_down(spark, sf_dir) -> DataFrame:
 def layout(spark, sf_dir) -> DataFrame:
     folder = _fresh_folder(spark, "requests")
     tables.write_requests(standins.requests(spark, sf_dir), folder)
-    return tables.read_table(spark, folder).filter(F.col("status") == "P")
+    stored = tables.read_table(spark, folder)
+    # one pruned read per status
+    parts = [_layout_row(stored.filter(F.col("status") == s), "requests", s) for s in ("F", "O", "P")]
+    files = _fresh_folder(spark, "files")
+    tables.write_request_files(standins.request_files(spark, sf_dir), files)
+    stored = tables.read_table(spark, files)
+    parts += [
+        _layout_row(stored.filter(F.col("file_type") == t), "files", t) for t in standins.EVENT_TYPES
+    ]
+    name = f"layout_{uuid4().hex}"
+    tables.write_bucketed(
+        standins.customers(spark, sf_dir), name, "id", 8, ["id"], _fresh_folder(spark, "bucketed")
+    )
+    parts.append(_layout_row(spark.table(name), "bucketed", ""))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _layout_row(df: DataFrame, table: str, part: str) -> DataFrame:
+    return df.agg(
+        F.lit(table).alias("table"),
+        F.lit(part).alias("part"),
+        F.count("*").alias("rows"),
+        F.sum("id").alias("id_sum"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    )
 
 
 # ---- reports -----------------------------------------------------------------------------
@@ -410,11 +510,20 @@ def intake_stats(spark, sf_dir) -> DataFrame:
 
 @_register
 def company_dim(spark, sf_dir) -> DataFrame:
-    known = standins.table(spark, sf_dir, "supplier").select(
+    # the first hundred suppliers' numbers are customers too, the nations are not
+    suppliers = standins.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"),
         F.concat(F.lit("Customer#"), F.substring("s_name", 10, 9)).alias("name"),
         F.col("s_name").alias("code"),
     )
-    return reports.company_dim(standins.customers(spark, sf_dir), known)
+    nations = standins.table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 5_000_000).cast("long").alias("id"),
+        F.col("n_name").alias("name"),
+        F.lit(None).cast("string").alias("code"),
+    )
+    at = utc_instant(F.lit("2024-01-01").cast("timestamp_ntz"))
+    known = suppliers.unionByName(nations).withColumns({"created_at": at, "updated_at": at})
+    return _stamped(reports.company_dim(standins.customers(spark, sf_dir), known, NOW))
 
 
 @_register
@@ -470,11 +579,15 @@ def run_summary_by_zone(spark, sf_dir) -> DataFrame:
 
 @_register
 def run_log(spark, sf_dir) -> DataFrame:
-    rows, vehicles = _allocation(spark, sf_dir)
-    digest = allocation.input_digest(rows, vehicles)
-    log = allocation.run_log(allocation.run_summary(rows, vehicles), digest, "queue=order_ts")
-    # the id depends on row hashes that SQL engines do not share
-    return log.drop("run_id")
+    orders, vehicles = standins.delivery_orders(spark, sf_dir), standins.fleet(spark, sf_dir)
+    summary = allocation.run_summary(allocation.allocate_orders(orders, vehicles), vehicles)
+    digest = allocation.input_digest(orders, vehicles)
+    folder = _fresh_folder(spark, "run_log")
+    log = pin(allocation.run_log(summary, digest, "queue=order_ts", NOW))
+    for _ in range(2):  # a repeated run replaces its entry
+        tables.append_run(log, folder)
+    stored = tables.read_table(spark, folder)
+    return stored.withColumn("run_at", F.unix_micros("run_at")).withColumnRenamed("run_at", "run_us")
 
 
 # ---- streams --------------------------------------------------------------------------------
@@ -497,33 +610,40 @@ def latest_status_stream(spark, sf_dir) -> DataFrame:
 @_register
 def submission_stream(spark, sf_dir) -> DataFrame:
     folder = _fresh_folder(spark, "submissions")
-    landed = feeds.with_landing_time(_stream(spark, sf_dir, "documents"))
+    landed = _stream(spark, sf_dir, "documents")
     labelled = landed.join(standins.table(spark, sf_dir, "labels"), "doc_id", "left")
-    texts = standins.as_submissions(labelled, "landed_at")
     feeds.start_submissions(
-        landing.parse_submissions(texts, "value", "landed_at"),
+        landing.parse_submissions(standins.as_submissions(labelled), "value"),
         lambda: NOW,
         f"{folder}/tables",
         f"{folder}/checkpoint",
         run=RUN,
     ).awaitTermination()
-    files = tables.read_table(spark, f"{folder}/tables/files")
-    return files.drop("batch", "created_at", "updated_at")
+    made = [
+        tables.read_table(spark, f"{folder}/tables/{t}")
+        for t in ("requests", "files", "rejected", "rejected_files")
+    ]
+    return _outcome(*made)
 
 
 @_register
 def intake_stream(spark, sf_dir) -> DataFrame:
     folder = _fresh_folder(spark, "intake")
-    rows = _stream(spark, sf_dir, "events").select(
+    events = standins.table(spark, sf_dir, "events")
+    # the whole table as four files, one of them twice, and one file per batch
+    for part in (0, 1, 2, 3, 1):
+        events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part).coalesce(1).write.mode(
+            "append"
+        ).parquet(f"{folder}/in")
+    rows = feeds.file_feed(spark, f"{folder}/in", events.schema, files_per_batch=1).select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("request_id"),
         F.col("event_type").alias("file_type"),
-        utc_instant("ts").alias("created_at"),
     )
     feeds.start_intake(
         rows, lambda: _parents(spark, sf_dir), f"{folder}/files", f"{folder}/checkpoint"
     ).awaitTermination()
-    return feeds.read_intake(spark, f"{folder}/files").drop("created_at")
+    return feeds.read_intake(spark, f"{folder}/files")
 
 
 @_register
@@ -538,4 +658,5 @@ def kpi_stream(spark, sf_dir) -> DataFrame:
         company="o_custkey",
         status="o_orderstatus",
     ).awaitTermination()
-    return feeds.read_kpis(spark, f"{folder}/log")
+    projects, vehicles = (standins.table(spark, sf_dir, t) for t in ("nation", "supplier"))
+    return feeds.read_kpis(spark, f"{folder}/log", projects, vehicles)

@@ -6,6 +6,8 @@ where the declared meaning asks for them and never on ids.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +144,53 @@ def as_submissions(d: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def rough_submissions(spark, sf_dir) -> DataFrame:
+    """The submissions as a landing really looks: copies, unequal copies, broken lines, no ids.
+
+    Documents labelled low land twice; toxic ones land again without a mobile and without
+    an id; those in German are followed by half a line.
+    """
+    d = labelled_documents(spark, sf_dir)
+    texts = as_submissions(d, "quality", "toxic", "lang")
+    low = texts.filter("quality = 0")
+    toxic = texts.filter("toxic = 1")
+
+    def without(df, *fields):
+        kept = F.col("value")
+        for name in fields:
+            kept = F.regexp_replace(kept, f'"{name}":"[^"]*",', "")
+        return df.withColumn("value", kept)
+
+    half = texts.filter("lang = 'de'").withColumn("value", F.substring("value", 1, 30))
+    parts = [texts, low, without(toxic, "submission_id"), half]
+    return reduce(DataFrame.unionByName, parts).select("value")
+
+
+def uploads(spark, sf_dir) -> DataFrame:
+    """events as uploads: a call per user and day; views have a type that does not exist."""
+    kinds = F.create_map(
+        *[F.lit(x) for pair in zip(EVENT_TYPES, (*fv.FILE_TYPES[:4], "view"), strict=True) for x in pair]
+    )
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws("-", F.col("user_id"), F.date_format("ts", "yyyyMMdd")).alias("upload_id"),
+        F.col("user_id").alias("request_id"),
+        F.col("event_id").alias("position"),
+        kinds[F.col("event_type")].alias("file_type"),
+        F.lit("same.json").alias("filename"),
+        F.lit("application/json").alias("content_type"),
+        names.size_bytes("props").alias("size"),
+    )
+
+
+def supplier_files(spark, sf_dir) -> DataFrame:
+    """Suppliers as small files, empty where the balance is negative: path and content."""
+    leaf = F.concat(F.lit("s "), "s_name", F.lit(".txt"))
+    return table(spark, sf_dir, "supplier").select(
+        names.landing_path_form("s_suppkey", F.lit("fleet"), leaf).alias("path"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("content"),
+    )
+
+
 def landed_documents(spark, sf_dir) -> DataFrame:
     """documents as files on disk: path and size; the layout follows the language."""
     kind = F.element_at(
@@ -175,9 +224,12 @@ def catalogued_files(spark, sf_dir) -> DataFrame:
             F.col("n_chars").alias("file_size"),
         )
     )
+    # short pages have paths outside the scheme, each its own
+    at = names.landing_path_form("page_id", F.lit("gps"), F.lit("page.html"))
+    short = F.concat_ws("/", F.lit("archive"), "page_id", F.lit("page.html"))
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("id"),
-        names.landing_path_form("page_id", F.lit("gps"), F.lit("page.html")).alias("file_path"),
+        F.when(F.octet_length("html") < 1000, short).otherwise(at).alias("file_path"),
         names.size_bytes("html").alias("file_size"),
     )
     return labelled.unionByName(pages)
