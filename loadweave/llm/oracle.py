@@ -73,10 +73,10 @@ counted AS ({" UNION ALL ".join(
     f"count(*) FILTER (1000 * {count} > cutoff * {per}) AS k FROM good, grid GROUP BY lang, cutoff"
     for rule, (count, per) in _RULES.items())}),
 tested AS (
-  SELECT lang, rule, cutoff, k < n * 0.02 / 3 AND list_sum(list_transform(range(0, k + 1), lambda i:
+  SELECT lang, rule, cutoff, k < n * 0.01 / 3 AND list_sum(list_transform(range(0, k + 1), lambda i:
       exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
-        - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln(0.02 / 3) + (n - i) * ln(1 - 0.02 / 3))))
-    <= 0.05 / (SELECT count(*) FROM counted) AS safe
+        - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln(0.01 / 3) + (n - i) * ln(1 - 0.01 / 3))))
+    <= 0.05 / ((SELECT count(*) FROM counted) / 15) AS safe
   FROM counted),
 chosen AS (
   SELECT lang, {", ".join(f"min(cutoff) FILTER (safe AND rule = '{r}') AS {r}" for r in _RULES)}

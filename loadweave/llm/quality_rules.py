@@ -8,10 +8,11 @@ Beyond that, rules of the form "score above cutoff: reject" get their cutoffs fr
 labels. Labelled good documents are the holdout on which false rejections count. For each
 stratum (language), rule and cutoff of a fixed grid, the exact binomial tail gives
 the p-value of the hypothesis "this rule rejects over RISK / rules of good documents".
-A cutoff qualifies if its p-value is at most FAILURE / (strata * rules * cutoffs)
-(Bonferroni), which is the Clopper-Pearson upper bound at that level lying below the
-risk. The lowest qualifying cutoff is taken; a stratum without one, or without labels,
-rejects nothing. So with probability 1 - FAILURE, in all strata at once, at most RISK of good
+A cutoff qualifies if its p-value is at most FAILURE / (strata * rules) (Bonferroni),
+which is the Clopper-Pearson upper bound at that level lying below the risk. Within a
+rule cutoffs are tested in the order given, from the highest down to the first that fails; a fixed
+sequence needs no further correction, and as counts only grow downwards it ends at the lowest that
+qualifies. A stratum without one, or without labels, rejects nothing. So with probability 1 - FAILURE, in all strata at once, at most RISK of good
 documents are rejected by all rules together, on top of the base rules.
 
 Windows are compared by their XXH64 within one text, so two unequal ones count as
@@ -32,7 +33,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
-RISK = 0.02
+RISK = 0.01
 FAILURE = 0.05
 # rule: (count, per) in whole promille; the grid is fixed before any label is seen
 RULES = {
@@ -170,7 +171,7 @@ def thresholds(
         ],
     )
     counts = pin(counts)  # one row per stratum
-    tests = max(1, counts.count() * len(RULES) * len(CUTOFFS))
+    tests = max(1, counts.count() * len(RULES))
     level = failure / tests
 
     def cutoff_of(rule):
