@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, simhash
 from loadweave.llm.common import table
 from loadweave.session import pin
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """Documents whose texts were cut, with the number of characters that are left."""
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a quality rule rejects."""
     return quality_rules.passing(docs, table(spark, sf_dir, "labels"))
@@ -17,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that many sources share, all but the first of each; drops no document."""
-    return line_dedup.without_boilerplate(docs, site="source", min_sites=5)
+    return _counted(line_dedup.without_boilerplate(docs, site="source", min_sites=5))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of ten words and more that the benchmark has; drops no document."""
-    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _counted(decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
