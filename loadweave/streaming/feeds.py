@@ -159,7 +159,8 @@ def start_submissions(
         append_batch(files, f"{folder}/files", batch_id, ["file_type"])
         append_batch(rejected, f"{folder}/rejected", batch_id)
         append_batch(bad_files, f"{folder}/rejected_files", batch_id)
-        ids = landed.select("submission_id").dropna().distinct()
+        # rows without id are never copies of each other
+        ids = landed.select("submission_id").filter(F.col("submission_id") != "").distinct()
         append_batch(ids, f"{folder}/ids", batch_id)
         # files that fail a check have used up their ids as well
         free = {
