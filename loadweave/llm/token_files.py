@@ -13,6 +13,7 @@ ids follow each other, null ids come first; an empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -44,6 +45,7 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.library.to_str())["normalizer"])
         special = self.library.get_added_tokens_decoder().items()
         # a special token ends what stands before it, so it can part pieces in one call
         self.mark, self.mark_id = next(
@@ -61,6 +63,14 @@ class Tokens:
         starts = [0, *(e + 1 for e in ends[:-1])]
         return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
+    def _pieces(self, text: str) -> list[bytes]:
+        data = text.encode()
+        # lower case first makes more pieces equal; it would change special tokens, and
+        # which letters compose with marks
+        if self.lowers and text.isascii() and b"<|" not in data:
+            data = data.lower()
+        return data.split()
+
     def learn(self, texts: list[list[bytes]]) -> None:
         """Make the pieces of some texts known."""
         if len(self.known) > _PIECES:
@@ -80,7 +90,7 @@ class Tokens:
         while at < len(texts):
             group, size = [], 0
             while at < len(texts) and size < _WORDS_AT_ONCE:
-                group.append((texts[at] or "").encode().split())
+                group.append(self._pieces(texts[at] or ""))
                 size += len(group[-1])
                 at += 1
             self.learn(group)
