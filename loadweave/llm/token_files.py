@@ -47,6 +47,7 @@ class Tokens:
         self.known: dict[bytes, bytes] = {}
         self.lowers = '"Lowercase"' in json.dumps(json.loads(self.library.to_str())["normalizer"])
         special = self.library.get_added_tokens_decoder().items()
+        self.whole = [t.content.lower().encode() for _, t in special]
         # a special token ends what stands before it, so it can part pieces in one call
         self.mark, self.mark_id = next(
             ((t.content, i) for i, t in sorted(special) if t.special and not t.normalized), ("", -1)
@@ -65,10 +66,12 @@ class Tokens:
 
     def _pieces(self, text: str) -> list[bytes]:
         data = text.encode()
-        # lower case first makes more pieces equal; it would change special tokens, and
-        # which letters compose with marks
-        if self.lowers and text.isascii() and b"<|" not in data:
-            data = data.lower()
+        # lower case first makes more pieces equal; it could make or break an added token,
+        # and change which letters compose with marks
+        if self.lowers and text.isascii():
+            lower = data.lower()
+            if not any(t in lower for t in self.whole):
+                return lower.split()
         return data.split()
 
     def learn(self, texts: list[list[bytes]]) -> None:
