@@ -222,9 +222,11 @@ def passing(
         docs.select("doc_id", F.col("lang").alias("stratum"), measured(F.col("text")).alias("m"))
     )
     cutoffs = thresholds(measures, labels, risk, failure)
+    # the counts come out as a generated row: as a plain column the filter on them would
+    # be moved below the join and count each text once more for every reference
     rows = docs.select(
         F.struct("*").alias("row"),
         F.col("lang").alias("stratum"),
-        measured(F.col("text")).alias("m"),
+        F.explode(F.array(measured(F.col("text")))).alias("m"),
     )
     return judged(rows, cutoffs).filter("kept").select("row.*")
