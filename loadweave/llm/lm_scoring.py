@@ -24,7 +24,7 @@ discount is half a count. Rows are scored one by one; a null text has the end on
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from itertools import chain, groupby
 from typing import NamedTuple
 from uuid import uuid4
 
@@ -41,7 +41,7 @@ END = b" "  # no word: words have no spaces
 TOKENS_AT_ONCE = 1 << 18
 COUNTS_AT_ONCE = 1 << 21
 PART_TOKENS = 1 << 22
-CHUNK_BITS = 18  # word numbers per file of the third round
+CHUNK_BITS = 16  # word numbers per file of the third round
 _CACHED = 1 << 18
 _SALT = 8
 
@@ -165,17 +165,9 @@ def _grouped(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def _parts_of(batches):
-    """Yield (part, rows of it) from rows sorted by part."""
-    part, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["part"] != part:
-                yield part, rows
-                rows = []
-            part = row["part"]
-            rows.append(row)
-    if rows:
-        yield part, rows
+    """(part, its rows one after the other) from rows sorted by part."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    return groupby(rows, key=lambda row: row["part"])
 
 
 # ---- the model ----------------------------------------------------------------------
