@@ -34,7 +34,8 @@ from loadweave.session import pin
 DICTIONARY_WORDS = 1 << 18
 WORD_BYTES = 64
 _BUCKETS = 1 << 13
-_CACHED_WORDS = 1 << 20
+_CACHED_WORDS = 1 << 17  # beside the dictionary
+_ROWS_AT_ONCE = 256
 _NONE = (1 << 31) - 1
 # the White_Space code points, as \s means other ones in other libraries
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -197,7 +198,7 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = fold(word.encode(), self.ranks)
         if len(word) <= WORD_BYTES:
-            if len(self) >= _CACHED_WORDS:
+            if len(self) >= len(self.known) + _CACHED_WORDS:
                 self.clear()
                 self.update(self.known)
             self[word] = ids
@@ -236,7 +237,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Tru
     def run(batches):
         codec = Codec(sent.value[0], pattern, sent.value[1])
         decimal = {i: str(i) for i in codec.pieces}
-        for batch in batches:
+        parts = (
+            batch.slice(start, _ROWS_AT_ONCE)
+            for batch in batches
+            for start in range(0, batch.num_rows, _ROWS_AT_ONCE)
+        )
+        for batch in parts:
             columns = ([], [], [], [])
             for text in batch.column("text").to_pylist():
                 ids = codec.encode(text)
