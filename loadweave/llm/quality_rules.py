@@ -217,16 +217,18 @@ def verdicts(
 def passing(
     docs: DataFrame, labels: DataFrame, risk: float = RISK, failure: float = FAILURE
 ) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are."""
-    measures = pin(
-        docs.select("doc_id", F.col("lang").alias("stratum"), measured(F.col("text")).alias("m"))
+    """The rows of ``docs`` that are kept, all columns as they are.
+
+    Rows and their counts are written to the shared folder together: counting costs
+    far more than reading the texts again. The cutoffs read only ids and counts.
+    """
+    rows = pin(
+        docs.select(
+            F.struct("*").alias("row"),
+            F.col("lang").alias("stratum"),
+            measured(F.col("text")).alias("m"),
+        )
     )
+    measures = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "m")
     cutoffs = thresholds(measures, labels, risk, failure)
-    # the counts come out as a generated row: as a plain column the filter on them would
-    # be moved below the join and count each text once more for every reference
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        F.col("lang").alias("stratum"),
-        F.explode(F.array(measured(F.col("text")))).alias("m"),
-    )
     return judged(rows, cutoffs).filter("kept").select("row.*")
