@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, simhash
+from loadweave.llm import bpe, decontamination, line_dedup, quality_rules, similar
 from loadweave.llm.common import table
 from loadweave.session import pin
 
@@ -28,8 +28,8 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps the smallest id of each group of near duplicates: 80 % of five-word shingles in common."""
+    return similar.one_of_each(docs, words=5, percent=80)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
