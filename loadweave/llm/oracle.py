@@ -153,9 +153,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM payloads LEFT JOIN firsts USING (payload_digest)
 """
 
+_DIVERGENCE = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+tokens AS (SELECT row, lang, source, unnest(w) AS term FROM texts),
+kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counted AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+totals AS (
+  SELECT lang, source, v + coalesce(t, 0) AS total
+  FROM groups JOIN sizes USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n) AS t FROM counted GROUP BY lang, source) USING (lang, source)),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // total AS p
+  FROM totals JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // any_value(total) AS q
+  FROM counted JOIN (
+    SELECT lang, v + sum(n) AS total FROM counted JOIN sizes USING (lang) GROUP BY lang, v) USING (lang)
+  GROUP BY lang, term),
+pairs AS (
+  SELECT lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p AS a JOIN p AS b USING (lang, term) WHERE a.source <> b.source GROUP BY lang, a.source, b.source),
+found AS (
+  SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups AS a JOIN groups AS b USING (lang)
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  WHERE a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT
+  FROM p JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
 _SQL = {
     "op1_decontamination": _DECONTAMINATION,
     "op10_warc": _WARC,
+    "op13_divergence": _DIVERGENCE,
     "op2_secret_scan": _SECRETS,
     "op4_line_dedup": _LINES,
     "op6_quality_rules": _QUALITY,

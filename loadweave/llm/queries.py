@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontamination, line_dedup, lm_scoring, quality_rules, secrets, sharding, simhash, token_files, warc
+from loadweave.llm import (
+    bpe,
+    decontamination,
+    divergence,
+    line_dedup,
+    lm_scoring,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    token_files,
+    warc,
+)
 from loadweave.llm.common import table
 
 _QUERIES = {}
@@ -87,3 +99,8 @@ def op9_lm_scoring(spark, sf_dir) -> DataFrame:
 @_register
 def op10_warc(spark, sf_dir) -> DataFrame:
     return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
+
+
+@_register
+def op13_divergence(spark, sf_dir) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"), least_docs=3, top=200)
