@@ -192,9 +192,49 @@ SELECT lang, source, part, item, value,
 FROM found QUALIFY part = 'pair' OR rank <= 200
 """
 
+_VECTOR_ROUNDS = 6
+
+
+def _vector_round(n: int) -> str:
+    """Parts to their nearest entries of codebook n, and the codebook after that."""
+    return f"""
+near_{n} AS MATERIALIZED (
+  SELECT row, p, any_value(x) AS x, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT row, p, x, k, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM cut JOIN book_{n} USING (p))
+  GROUP BY row, p),
+book_{n + 1} AS MATERIALIZED (
+  SELECT p, k, coalesce(m, e) AS e
+  FROM book_{n} LEFT JOIN (
+    SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m
+    FROM (SELECT p, k, i, sum(x[i]) AS s, count(*) AS n FROM near_{n}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY p, k, i)
+    GROUP BY p, k) USING (p, k))"""
+
+
+_VECTORS = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT row, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM vectors, unnest(range(8)) AS u(p)),
+book_0 AS MATERIALIZED (SELECT p, row - 1 AS k, x AS e FROM cut WHERE row <= 16),
+{",".join(_vector_round(n) for n in range(_VECTOR_ROUNDS + 1))},
+coded AS (
+  SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near_{_VECTOR_ROUNDS} GROUP BY row),
+labelled AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN vectors USING (row) GROUP BY label),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book_{_VECTOR_ROUNDS})
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN vectors USING (row) JOIN labelled ON vectors.label IS NOT DISTINCT FROM labelled.label, digest
+"""
+
 _SQL = {
     "op1_decontamination": _DECONTAMINATION,
     "op10_warc": _WARC,
+    "op12_vector_codes": _VECTORS,
     "op13_divergence": _DIVERGENCE,
     "op2_secret_scan": _SECRETS,
     "op4_line_dedup": _LINES,

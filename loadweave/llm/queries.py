@@ -17,6 +17,7 @@ from loadweave.llm import (
     sharding,
     simhash,
     token_files,
+    vector_codes,
     warc,
 )
 from loadweave.llm.common import table
@@ -101,6 +102,11 @@ def op10_warc(spark, sf_dir) -> DataFrame:
     return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
 
 
+@_register
+def op12_vector_codes(spark, sf_dir) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=8, codes=16, rounds=6)
+
+
 @_register
 def op13_divergence(spark, sf_dir) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"), least_docs=3, top=200)
