@@ -42,15 +42,23 @@ def search(
     edges: tuple[np.ndarray, np.ndarray],
     radius: int,
     chunk: int = 4096,
+    others: tuple[np.ndarray, np.ndarray] | None = None,
 ):
-    """Yield pairs (i, j), j < i, of values of one bucket within ``radius`` of each other."""
+    """Yield pairs (i, j), j < i, of values of one bucket within ``radius`` of each other.
+
+    ``others``, roots and values that are in no tree: instead the pairs of one of them, i, and
+    a value of a tree, j.
+    """
     keys, children = edges
-    for start in range(0, len(values), chunk):
-        query = np.arange(start, min(start + chunk, len(values)))
-        node = roots[query]
+    asked_roots, asked = others or (roots, values)
+    for start in range(0, len(asked), chunk):
+        query = np.arange(start, min(start + chunk, len(asked)))
+        node = asked_roots[query]
         while len(query):
-            distance = np.bitwise_count(values[query] ^ values[node]).astype(np.int64)
-            hit = (distance <= radius) & (node < query)
+            distance = np.bitwise_count(asked[query] ^ values[node]).astype(np.int64)
+            hit = distance <= radius
+            if others is None:
+                hit &= node < query
             if hit.any():
                 yield query[hit], node[hit]
             low = np.searchsorted(keys, node * _EDGES + np.maximum(distance - radius, 0))

@@ -12,6 +12,7 @@ from loadweave.llm import (
     divergence,
     line_dedup,
     lm_scoring,
+    minhash,
     quality_rules,
     secrets,
     sharding,
@@ -102,6 +103,11 @@ def op10_warc(spark, sf_dir) -> DataFrame:
     return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")))
 
 
+@_register
+def op11_minhash(spark, sf_dir) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 @_register
 def op12_vector_codes(spark, sf_dir) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=8, codes=16, rounds=6)
