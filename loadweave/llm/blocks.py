@@ -154,18 +154,16 @@ def _place(node: str, blocks: str, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), node), F.col(blocks))
 
 
-def links(
-    members: DataFrame, join: Callable, at_once: int, attach: Callable | None = None
-) -> DataFrame:
+def links(members: DataFrame, join: Callable, at_once: int, attach: Callable) -> DataFrame:
     """Links (a, b) between nodes that connect what ``join`` finds in each key.
 
-    ``members`` has key, node (both long), weight and what ``join`` reads, unless
-    ``attach`` adds that to a frame of the members' columns.
+    ``members`` has key, node and weight, all long, and is read twice. ``attach`` adds what
+    ``join`` reads, for the members of keys with two of them at least.
     """
-    attach = attach or (lambda placed: placed)
-    members = pin(members)
-    keys = members.groupBy("key").agg(F.min("node").alias("pivot"), F.sum("weight").alias("w"))
-    keys = keys.select("key", "pivot", _blocks(F.col("w"), at_once).alias("blocks"))
+    keys = members.groupBy("key").agg(
+        F.min("node").alias("pivot"), F.sum("weight").alias("w"), F.count("*").alias("many")
+    )
+    keys = keys.filter("many > 1").select("key", "pivot", _blocks(F.col("w"), at_once).alias("blocks"))
     placed = pin(
         join_aggregated(members, keys, "key")
         .withColumn("block", _place("node", "blocks", 0))

@@ -151,26 +151,27 @@ def roots(
 
     ``rows`` is pinned and has the features, ``text`` and the number ``n``.
     """
-    one = F.lit(1).cast("long").alias("weight")
     nodes = pin(
         rows.filter("size > 0")
         .groupBy("node")
         .agg(F.min(F.struct("n", "size", "signature", "buckets")).alias("x"))
         .select("node", "x.*")
     )
-    places = nodes.select(F.explode("buckets").alias("key"), "node")
-    shared = places.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    # only nodes that share a bucket take their signature along
-    members = join_aggregated(places, shared, "key").join(nodes.select("node", "size", "signature", one), "node")
-    survivors = simhash.connected(blocks.links(members, _likely(percent, miss), bucket_rows).distinct())
+    places = nodes.select(F.explode("buckets").alias("key"), "node", F.lit(1).cast("long").alias("weight"))
+
+    def with_signatures(placed: DataFrame) -> DataFrame:
+        return placed.join(nodes.select("node", "size", "signature"), "node")
+
+    likely = blocks.links(places, _likely(percent, miss), bucket_rows, with_signatures)
+    survivors = simhash.connected(likely.distinct())
     groups = survivors.select(F.col("a").alias("node"), F.col("root").alias("key"))
     tops = groups.select(F.col("key").alias("node"), "key").distinct()
-    members = groups.unionByName(tops).join(
-        nodes.select("node", "n", "size", "signature", F.col("size").alias("weight")), "node"
-    )
+    narrow = nodes.select("node", "n", "size", "signature")
+    members = pin(groups.unionByName(tops).join(narrow.select("node", F.col("size").alias("weight")), "node"))
 
     def with_sets(placed: DataFrame) -> DataFrame:
-        return inplace.joined(rows, placed, "text", "shingles", shingle_bytes(words), 8 * shingles_at_once)
+        wanted = placed.join(narrow, "node")
+        return inplace.joined(rows, wanted, "text", "shingles", shingle_bytes(words), 8 * shingles_at_once)
 
     confirmed = blocks.links(members, _confirmed(percent, miss), shingles_at_once, with_sets)
     return simhash.connected(confirmed.distinct()).select(F.col("a").alias("node"), "root")

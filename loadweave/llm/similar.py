@@ -13,20 +13,27 @@ so short that most pairs of one language agree in one.
 
 In its shard each node searches the BK-tree of SimHashes within ``RADIUS`` bits. Features
 are words, each weighted by the square root of its count. Candidates meet with their
-texts in the task of their component of candidates, which links those that the sets themselves
+shingle sets in the task of their component of candidates, which links those that the sets themselves
 confirm. So no pair below the similarity is linked; what the search misses is measured in
 the README. Shingles are compared by 64-bit hashes.
+
+Shards of more than ``SHARD_ROWS`` nodes and groups of more than ``SHINGLES_AT_ONCE`` shingles are
+cut into blocks (``blocks``) without losing a pair. Only the texts of candidates are read into sets and
+moved, and documents that go are left out where they lie (``inplace``), by one plan for all sizes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm import bktree, simhash
+from loadweave.llm import blocks, bktree, inplace, simhash
+from loadweave.llm.shingles import ODD, Hashes, mixed, shingle_bytes, shingle_set, similar_sets, word_hashes
+from loadweave.operators.relations import join_aggregated
 from loadweave.session import pin
 
 WORDS = 5
@@ -34,44 +41,13 @@ PERCENT = 80
 RADIUS = 16
 BANDS = 16
 ROWS = 4
+SHARD_ROWS = 1 << 16
+SHINGLES_AT_ONCE = 1 << 20
 _HASHES_AT_ONCE = 1 << 16
 _PAIRS_AT_ONCE = 1 << 20
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN_WORDS = 1 << 16
 _FACTORS = np.random.default_rng(42).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(dict):
-    """word: hash, for the words met last."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word, 42)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def _shingles(h: np.ndarray, words: int) -> np.ndarray:
-    """Hashes of the shingles, with repeats, of a text whose words hash to ``h``."""
-    words = min(words, len(h))
-    if not words:
-        return h
-    n = len(h) - words + 1
-    # the number of words is part of it: a short text is not the shingle of a longer one
-    total = np.full(n, words, np.uint64)
-    for k in range(words):
-        total = total * _ODD + h[k : n + k]
-    return _mixed(total)
-
-
 def _print(hashes: np.ndarray, weights: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), _HASHES_AT_ONCE):
@@ -82,17 +58,6 @@ def _print(hashes: np.ndarray, weights: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def word_hashes(text: str | None, known: dict | None = None) -> np.ndarray:
-    found = (text or "").encode().lower().split()
-    known = _Hashes() if known is None else known
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-
-
-def shingle_set(h: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """The distinct shingle hashes in order."""
-    return np.unique(_shingles(h, words))
-
-
 def bands(shingles: np.ndarray) -> np.ndarray:
     """The bucket of each band; ``shingles`` are not empty."""
     step = max(1, _HASHES_AT_ONCE // len(_FACTORS))
@@ -102,7 +67,7 @@ def bands(shingles: np.ndarray) -> np.ndarray:
         least = np.minimum(least, part)
     total = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
-        total = _mixed(total * _ODD + column)
+        total = mixed(total * ODD + column)
     return total.view(np.int64)
 
 
@@ -120,7 +85,7 @@ def features_of(h: np.ndarray, words: int = WORDS) -> tuple[int, int, int, np.nd
 def features(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf("node long, value long, size long, shards array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        known = _Hashes()
+        known = Hashes()
         rows = [features_of(word_hashes(t, known), words) for t in texts]
         return pd.DataFrame(rows, columns=["node", "value", "size", "shards"])
 
@@ -134,130 +99,93 @@ def _close(value, size, i, j, percent: int, radius: int):
     )
 
 
-def _runs(batches, key: str):
-    """The batches' rows by runs of equal keys; rows come sorted by key."""
-    waiting: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch[key].to_numpy()
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if waiting and waiting[-1][key].iat[0] != keys[a]:
-                yield pd.concat(waiting)
-                waiting = []
-            waiting.append(batch.iloc[a:b])
-    if waiting:
-        yield pd.concat(waiting)
-
-
-def _shard_links(percent: int, radius: int):
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = rows["shard"].to_numpy()
-        _, which, many = np.unique(shard, return_inverse=True, return_counts=True)
-        several = many[which] > 1
-        shard = shard[several]
-        node, value, size = (rows[c].to_numpy()[several] for c in ("node", "value", "size"))
-        order = np.lexsort((node, shard))
-        shard, node, value, size = (x[order] for x in (shard, node, value.view(np.uint64), size))
-        n = len(shard)
-        _, first, which = np.unique(shard, return_index=True, return_inverse=True)
-        roots, pairs, held = first[which], [], 0
-        for i, j in bktree.search(roots, value, bktree.build(roots, value), radius, chunk=1024):
+def _by_trees(percent: int, radius: int):
+    """Candidates of each shard, found in its BK-tree."""
+
+    def join(rows: pa.Table, run, label, asks):
+        value, size = rows.column("value").to_numpy().view(np.uint64), rows.column("size").to_numpy()
+        inside = np.arange(len(rows)) if asks is None else np.flatnonzero(~asks)
+        roots = np.searchsorted(run[inside], run[inside])
+        trees = bktree.build(roots, value[inside])
+        outside, others = inside, None
+        if asks is not None:
+            outside = np.flatnonzero(asks)
+            at = np.searchsorted(run[inside], run[outside])
+            # a block may have no member of the shard
+            met = at < len(inside)
+            met[met] = run[inside][at[met]] == run[outside][met]
+            outside, others = outside[met], (at[met], value[outside[met]])
+        pairs, held = [], 0
+        for i, j in bktree.search(roots, value[inside], trees, radius, 1024, others):
+            i, j = outside[i], inside[j]
             keep = _close(value, size, i, j, percent, radius)
-            if keep.any():
-                pairs.append((i[keep], j[keep]))
-                held += len(pairs[-1][0])
+            pairs.append((i[keep], j[keep]))
+            held += int(keep.sum())
             if held > _PAIRS_AT_ONCE:
-                pairs, held = [(np.arange(n), bktree.components(n, pairs))], 0
-        label = bktree.components(n, pairs)
-        linked = label != np.arange(n)
-        return pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
-
-    def run(batches):
-        # rows come sorted by shard; a shard that goes on in the next batch waits for it
-        waiting: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            shard = batch["shard"].to_numpy()
-            last = int(np.searchsorted(shard, shard[-1]))
-            if waiting and (last or waiting[-1]["shard"].iat[-1] != shard[0]):
-                yield links(pd.concat([*waiting, batch.iloc[:last]]))
-                waiting = []
-            elif last:
-                yield links(batch.iloc[:last])
-            waiting.append(batch.iloc[last:])
-        if waiting:
-            yield links(pd.concat(waiting))
-
-    return run
-
-
-def _confirmed(words: int, percent: int, radius: int):
-    def links(rows: pd.DataFrame, known: dict) -> pd.DataFrame:
-        order = np.argsort(rows["node"].to_numpy(), kind="stable")
-        node, value, size = (rows[c].to_numpy()[order] for c in ("node", "value", "size"))
-        value = value.view(np.uint64)
-        texts = rows["text"].to_numpy()[order]
-        sets = [shingle_set(word_hashes(t, known), words) for t in texts]
-        label = np.arange(len(node))
-        for i in range(1, len(node)):
-            near = np.flatnonzero(_close(value, size, i, np.arange(i), percent, radius))
-            # one partner of a group is enough
-            while len(near):
-                j = near[0]
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both * 100 >= (len(sets[i]) + len(sets[j]) - both) * percent:
-                    low, high = sorted((label[i], label[j]))
-                    label[: i + 1][label[: i + 1] == high] = low
-                near = near[1:]
-                near = near[label[near] != label[i]]
-        linked = label != np.arange(len(node))
-        return pd.DataFrame({"node": node[linked], "root": node[label[linked]]})
-
-    def run(batches):
-        known = _Hashes()
-        for rows in _runs(batches, "group"):
-            yield links(rows, known)
-
-    return run
+                label = bktree.components(len(rows), [(np.arange(len(rows)), label), *pairs])
+                pairs, held = [], 0
+        return bktree.components(len(rows), [(np.arange(len(rows)), label), *pairs])
+
+    return join
+
+
+def _confirmed(percent: int, radius: int):
+    def test(rows: pa.Table):
+        value, size = rows.column("value").to_numpy().view(np.uint64), rows.column("size").to_numpy()
+        alike = similar_sets(rows.column("shingles").combine_chunks(), percent)
+
+        def linked(i, j):
+            ok = _close(value, size, i, j, percent, radius)
+            ok[ok] = alike(i[ok], j[ok])
+            return ok
+
+        return linked
+
+    return blocks.by_pairs(test)
 
 
 def roots(
-    rows: DataFrame, words: int = WORDS, percent: int = PERCENT, radius: int = RADIUS
+    rows: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    radius: int = RADIUS,
+    shard_rows: int = SHARD_ROWS,
+    shingles_at_once: int = SHINGLES_AT_ONCE,
 ) -> DataFrame:
     """node, root (smallest node of its group) for all nodes that are not the smallest.
 
-    ``rows`` has the features, ``text`` and ``n``, a number that no two rows share.
+    ``rows`` is pinned and has the features, ``text`` and the number ``n``.
     """
     nodes = pin(
         rows.groupBy("node")
         .agg(F.min(F.struct("n", "value", "size", "shards")).alias("x"))
         .select("node", "x.*")
     )
-    found = (
-        nodes.select("node", "value", "size", F.explode("shards").alias("shard"))
-        .repartition("shard")
-        .sortWithinPartitions("shard")
-        .mapInPandas(_shard_links(percent, radius), "a long, b long")
-    )
+    sharded = nodes.select(F.explode("shards").alias("key"), "node", F.lit(1).cast("long").alias("weight"))
+
+    def with_values(placed: DataFrame) -> DataFrame:
+        return placed.join(nodes.select("node", "value", "size"), "node")
+
+    found = blocks.links(sharded, _by_trees(percent, radius), shard_rows, with_values)
     groups = simhash.connected(found.distinct())
-    groups = groups.select(F.col("a").alias("node"), F.col("root").alias("group"))
-    tops = groups.select(F.col("group").alias("node"), "group").distinct()
-    members = nodes.drop("shards").join(groups.unionByName(tops), "node")
-    return pin(
-        members.join(rows.select("n", "text"), "n")
-        .repartition("group")
-        .sortWithinPartitions("group")
-        .mapInPandas(_confirmed(words, percent, radius), "node long, root long")
-    )
+    groups = groups.select(F.col("a").alias("node"), F.col("root").alias("key"))
+    tops = groups.select(F.col("key").alias("node"), "key").distinct()
+    narrow = nodes.select("node", "n", "value", "size")
+    members = pin(groups.unionByName(tops).join(narrow.select("node", F.col("size").alias("weight")), "node"))
+
+    def with_sets(placed: DataFrame) -> DataFrame:
+        wanted = placed.join(narrow, "node")
+        return inplace.joined(rows, wanted, "text", "shingles", shingle_bytes(words), 8 * shingles_at_once)
+
+    confirmed = blocks.links(members, _confirmed(percent, radius), shingles_at_once, with_sets)
+    return simhash.connected(confirmed.distinct()).select(F.col("a").alias("node"), "root")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **bounds) -> DataFrame:
     """The documents that stay, all columns as they are: the smallest id of each group.
 
-    Among documents without id, one of a group stays where no other has an id.
+    Among documents without id, one of a group stays where no other has an id. Texts
+    without words are equal to each other, null or empty: one of them stays.
     """
     rows = pin(
         docs.select(
@@ -266,12 +194,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             F.monotonically_increasing_id().alias("n"),
         ).select("row", "x.*", "n")
     )
-    given = rows.select("node", "value", "size", "shards", "n", F.col("row.text").alias("text"))
-    found = roots(given, words, percent)
+    found = roots(rows.withColumn("text", F.col("row.text")), words, percent, **bounds)
     members = rows.select("node", F.col("row.doc_id").alias("doc_id"), "n").join(found, "node", "left")
-    kept = pin(
-        members.groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("low"))
-        .select("low.n")
+    members = pin(members.select(F.coalesce("root", "node").alias("root"), "doc_id", "n"))
+    lowest = members.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("low"), F.count("*").alias("many")
     )
-    return rows.join(kept, "n", "left_semi").select("row.*")
+    # narrow rows say which texts go; those are left out where they lie
+    gone = join_aggregated(members, lowest.filter("many > 1"), "root").filter("n != low.n")
+    return inplace.without(rows.select("row", "n"), gone.select("n")).select("row.*")

@@ -10,14 +10,14 @@ import pytest
 
 import corpus_pipeline
 from loadweave.llm import decontamination, oracle, queries
-from tests.llm import test_bpe, test_line_dedup, test_quality_rules, test_simhash
+from tests.llm import test_bpe, test_line_dedup, test_quality_rules, test_similar
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = {n.split("_")[0] for n in queries.all_queries()}
 
 
 def test_one_query_per_operator():
-    assert NAMES == {f"op{n}" for n in range(1, 11)} and len(queries.all_queries()) == 10
+    assert NAMES == {f"op{n}" for n in range(1, 14)} and len(queries.all_queries()) == 13
     assert set(oracle.all_sql()) < set(queries.all_queries())
 
 
@@ -44,8 +44,7 @@ def expected_ids(docs, benchmark):
         if n >= 50 and 100 * repeated <= 50 * n:
             rows.append((r["doc_id"], r["text"], r["lang"], r["source"]))
     rows = list(test_line_dedup.by_hand(rows, 5))
-    values = [test_simhash.by_hand(t) for _, t in rows]
-    label = test_simhash.components_by_hand(values, 2)
+    label, _ = test_similar.groups_by_hand([t for _, t in rows])
     first = {}
     for (doc_id, _), at in zip(rows, label, strict=True):
         first[at] = min(first.get(at, doc_id), doc_id)
