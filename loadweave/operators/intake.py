@@ -6,6 +6,7 @@ Batch and stream share these functions: each is a DataFrame to DataFrame step.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -57,26 +58,46 @@ def check_submissions(submissions: DataFrame) -> DataFrame:
     return submissions.withColumn(REASONS, reasons)
 
 
-def one_of_each(landed: DataFrame) -> DataFrame:
-    """One landed row per submission, where some landed more than once.
+def content_hash(columns: Sequence[str]) -> Column:
+    """A hash of the values and of which of them are NULL: ``xxhash64`` passes over those."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
 
-    Of unequal copies the one with the smallest hash of its content is taken, so the
-    choice does not depend on where rows lie. It is made on narrow columns and written
-    down; texts then meet the chosen row numbers, which no two rows share. Rows without id
-    all stay: nothing tells which of them are copies.
+
+def has_key() -> Column:
+    """Rows without a submission id are never copies of each other: nothing tells which are."""
+    return F.coalesce(F.col("submission_id") != "", F.lit(False))
+
+
+def one_of_each(checked: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """One checked row per submission, where some landed more than once.
+
+    Of unequal copies one that passes the checks is taken, if any does, and of several the
+    one with the smallest hash of its content, so the choice does not depend on where rows
+    lie. It is made on narrow columns and written down; texts then meet the chosen row
+    numbers, which no two rows share. Rows without id all stay.
+
+    ``fresh`` holds the submissions that no earlier batch has taken. A copy that passes, of
+    one that was taken before, has the reason ``submission_id:unequal_copy``.
     """
-    key = F.nullif("submission_id", F.lit(""))
-    content = F.xxhash64(*[c for c in landed.columns if c != LANDED_ROW])
-    narrow = landed.select("submission_id", content.alias("hash"), LANDED_ROW)
+    content = content_hash([c for c in checked.columns if c not in (LANDED_ROW, REASONS)])
+    narrow = checked.select(
+        "submission_id", LANDED_ROW, F.struct(F.size(REASONS) > 0, content.alias("hash")).alias("turn")
+    )
     # rows equal in the hash are equal: which of them is taken shows nowhere
     chosen = (
-        narrow.filter(key.isNotNull())
+        narrow.filter(has_key())
         .groupBy("submission_id")
-        .agg(F.min_by(LANDED_ROW, "hash").alias(LANDED_ROW))
-        .select(LANDED_ROW)
+        .agg(F.min_by(LANDED_ROW, "turn").alias(LANDED_ROW))
     )
-    kept = pin(chosen.unionByName(narrow.filter(key.isNull()).select(LANDED_ROW)))
-    return landed.join(kept, LANDED_ROW, "left_semi")
+    late = F.lit(False)
+    if fresh is not None:
+        chosen = chosen.join(fresh.select("submission_id", F.lit(True).alias("fresh")), "submission_id", "left")
+        late = F.col("fresh").isNull()
+    chosen = chosen.select(LANDED_ROW, late.alias("late"))
+    alone = narrow.filter(~has_key()).select(LANDED_ROW, F.lit(False).alias("late"))
+    kept = pin(chosen.unionByName(alone))
+    unequal = F.when(F.col("late") & (F.size(REASONS) == 0), F.array(F.lit("submission_id:unequal_copy")))
+    return checked.join(kept, LANDED_ROW).withColumn(REASONS, F.coalesce(unequal, REASONS)).drop("late")
 
 
 def request_rows(valid: DataFrame, now: datetime, start_id: int = 1) -> DataFrame:
@@ -201,15 +222,17 @@ def intake(
     start_request_id: int = 1,
     start_file_id: int = 1,
     run: str = "",
+    fresh: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(requests, files, rejected submissions, rejected files) of one set of landed rows.
 
     Every landed row is a request, a reject or a copy of one of these. Rejects come one by
     one, with reasons and, where a line could not be read, its text. Rows are read several
     times: those that carry no ``landed_row`` yet are numbered and written down first.
+    ``fresh`` is for ``one_of_each``.
     """
     landed = submissions if LANDED_ROW in submissions.columns else pin(numbered(submissions))
-    valid, rejected = split_valid(check_submissions(one_of_each(landed)))
+    valid, rejected = split_valid(one_of_each(check_submissions(landed), fresh))
     carried = request_rows(valid, now, start_request_id)
     requests = carried.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REQUESTS.fields])
     checked = check_files(form_file_rows(carried, now, start_file_id, run))

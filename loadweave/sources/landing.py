@@ -9,6 +9,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadweave import schemas
 from loadweave.functions import names
@@ -35,14 +36,25 @@ def parse_submissions(df: DataFrame, column: Column | str, *keep: str) -> DataFr
     return df.select(*keep, F.inline(F.array(parsed)))
 
 
-def parse_manifest(landed: DataFrame) -> DataFrame:
-    """Manifest rows for landed files given as path and size.
+# as the source for whole files declares it
+BINARY_FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
+
+def parse_manifest(landed: DataFrame, *keep: str) -> DataFrame:
+    """Manifest rows for landed files given as path and size, next to the kept columns.
 
     path, size, request_id, layout, file_type, original_name; both path layouts are
     recognised, anything else has layout ``unknown``.
     """
-    return landed.select("path", "size", names.parsed_path("path").alias("p")).select(
-        "path", "size", "p.*"
+    return landed.select("path", "size", names.parsed_path("path").alias("p"), *keep).select(
+        "path", "size", "p.*", *keep
     )
 
 

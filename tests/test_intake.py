@@ -127,7 +127,7 @@ def test_copies_do_not_gather_texts(spark):
         F.when(F.col("id") % 3 == 0, "text").otherwise(F.col("id").cast("string")).alias("goal"),
     )
     numbered = pin(intake.numbered(df))
-    once = intake.one_of_each(numbered)
+    once = intake.one_of_each(intake.check_submissions(numbered))
     assert "SortAggregate" not in plan(once)
     requests = intake.request_rows(once, NOW)
     assert requests.count() == 2001

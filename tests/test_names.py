@@ -81,5 +81,5 @@ def test_bytes_base_names_and_classes(spark):
         names.relative_path(F.lit("hdfs://h/mnt/uploads/3/3_gps_a b.csv")),
         names.relative_path(F.lit("other/3_gps_a.csv")),
     ).first()
-    assert tuple(got) == (2, "y.csv", "status-submitted", "uploads/3/3_gps_a b.csv", "")
+    assert tuple(got) == (2, "y.csv", "status-submitted", "uploads/3/3_gps_a b.csv", "other/3_gps_a.csv")
     assert rows(df.select(names.or_empty(F.lit(None)))) == [("",)]

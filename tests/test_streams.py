@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from tests.helpers import plan, rows
@@ -150,10 +150,11 @@ def test_submissions_keep_ids_dense_over_batches(spark, tmp_path):
             feed, lambda: datetime(2026, 1, 1), f"{root}/t", f"{root}/cp"
         ).awaitTermination()
     requests = spark.read.parquet(f"{root}/t/requests")
-    assert rows(requests, "batch", "id") == [(0, 1), (0, 2), (1, 3), (2, 4), (2, 5)]
+    # the rejected one lands again corrected, and is taken
+    assert rows(requests, "batch", "id") == [(0, 1), (0, 2), (1, 3), (2, 4), (2, 5), (2, 6)]
     files = spark.read.parquet(f"{root}/t/files")
     bad = spark.read.parquet(f"{root}/t/rejected_files")
-    assert sorted(rows(files, "id") + rows(bad, "id")) == [(i,) for i in range(1, 7)]
+    assert sorted(rows(files, "id") + rows(bad, "id")) == [(i,) for i in range(1, 8)]
     assert rows(relations.fk_orphans(files, requests)) == []
     # each row without id is a reject of its own, copies of what was taken leave none
     rejected = spark.read.parquet(f"{root}/t/rejected")
@@ -161,10 +162,197 @@ def test_submissions_keep_ids_dense_over_batches(spark, tmp_path):
         [(0, "bad"), (0, None), (1, None), (1, None)], key=repr
     )
     assert rows(spark.read.parquet(f"{root}/t/next_ids"), "batch", "request_id", "file_id") == [
-        (0, 3, 4), (1, 4, 5), (2, 6, 7)
+        (0, 3, 4), (1, 4, 5), (2, 7, 8)
     ]
 
 
+def submission(key, **extra):
+    return json.dumps({"submission_id": key, "company_name": "c", "contact_name": "c", "mobile": "1", **extra})
+
+
+def run_submissions(spark, root, batches):
+    """Each list of lines as a batch of a stream that is started anew."""
+    landing = root / "landing"
+    landing.mkdir(exist_ok=True)
+    for lines in batches:
+        (landing / f"{len(list(landing.iterdir()))}.json").write_text("\n".join(lines))
+        feed = feeds.file_feed(spark, str(landing), schemas.LANDED, "json")
+        query = feeds.start_submissions(feed, lambda: datetime(2026, 1, 1), f"{root}/t", f"{root}/cp")
+        query.awaitTermination()
+    return query
+
+
+def test_a_corrected_submission_is_taken_later(spark, tmp_path):
+    run_submissions(
+        spark,
+        tmp_path,
+        [
+            # nothing but rejects: two tables have no rows at all yet
+            [submission("7", mobile=None)],
+            [submission("7"), submission("7", mobile="")],
+            [submission("7"), submission("7", mobile=None), submission("7", goal="g"), submission("7", email="")],
+            [submission("7", goal="g"), submission("7", mobile="", goal="h")],
+        ],
+    )
+    requests = feeds.read_submissions(spark, f"{tmp_path}/t", "requests")
+    assert rows(requests, "batch", "id", "mobile") == [(1, 1, "1")]
+    rejected = feeds.read_submissions(spark, f"{tmp_path}/t", "rejected")
+    # exact repeats leave nothing, of unequal copies in a batch there is one
+    assert rows(rejected, "batch", F.array_join("reasons", " ")) == [
+        (0, "mobile:required"),
+        (2, "submission_id:unequal_copy"),
+        (3, "mobile:required"),
+    ]
+
+
+def test_tables_without_rows_can_be_read(spark, tmp_path):
+    run_submissions(spark, tmp_path, [[submission("1", mobile="")]])
+    for table in feeds.SUBMISSION_TABLES:
+        found = feeds.read_submissions(spark, f"{tmp_path}/t", table)
+        assert found.count() == (table == "rejected")
+
+
+def test_ids_are_state_and_no_table(spark, tmp_path):
+    first = [submission(str(i)) for i in range(20)]
+    run_submissions(spark, tmp_path, [first])
+    # the tables of the first batch go, but for the next free ids; its ids are known all the same
+    kept = tmp_path / "t" / "next_ids"
+    for table in (tmp_path / "t").iterdir():
+        if table != kept:
+            table.rename(tmp_path / f"old_{table.name}")
+    query = run_submissions(spark, tmp_path, [[*first, submission("20"), submission("3", goal="g")]])
+    assert rows(feeds.read_submissions(spark, f"{tmp_path}/t", "requests"), "id") == [(21,)]
+    assert rows(feeds.read_submissions(spark, f"{tmp_path}/t", "rejected"), "submission_id") == [("3",)]
+    state = {(s["operatorName"], s["numRowsTotal"]) for s in query.lastProgress["stateOperators"]}
+    assert state == {("dedupe", 22), ("dedupe", 21)}
+    assert all("rocksdbGetCount" in s["customMetrics"] for s in query.lastProgress["stateOperators"])
+
+
+def test_file_ids_are_state_and_no_table(spark, tmp_path):
+    root = str(tmp_path)
+    known = spark.range(3).select("id")
+    schema = "id long, request_id long, file_type string"
+
+    def run(rows_in, out):
+        spark.createDataFrame(rows_in, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        feed = feeds.file_feed(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
+        query = feeds.start_intake(feed, lambda: known, out, f"{root}/cp")
+        query.awaitTermination()
+        return query
+
+    run([(1, 1, "gps"), (2, 9, "gps"), (None, 1, "gps"), (None, 1, "gps")], f"{root}/one")
+    # another folder: nothing of the first batch can be read there
+    query = run([(1, 1, "gps"), (2, 9, "gps"), (3, 2, "gps"), (None, 1, "gps")], f"{root}/two")
+    assert rows(feeds.read_intake(spark, f"{root}/two"), "id", "known") == sorted(
+        [(3, True), (None, True)], key=repr
+    )
+    (state,) = query.lastProgress["stateOperators"]
+    assert state["operatorName"] == "dedupe" and state["numRowsTotal"] == 3
+
+
+def waiting(spark, root, *landed, wait=2):
+    """Files and requests (id, request, hour) and (id, hour) that land batch by batch."""
+    start = datetime(2026, 1, 1)
+    for n, (files, requests) in enumerate(landed):
+        spark.createDataFrame(
+            [(i, r, "gps", start + timedelta(hours=h)) for i, r, h in files],
+            "id long, request_id long, file_type string, arrived_at timestamp",
+        ).coalesce(1).write.parquet(f"{root}/files/{n}")
+        spark.createDataFrame(
+            [(i, start + timedelta(hours=h)) for i, h in requests], "id long, arrived_at timestamp"
+        ).coalesce(1).write.parquet(f"{root}/requests/{n}")
+        files = spark.readStream.schema("id long, request_id long, file_type string, arrived_at timestamp")
+        query = feeds.start_waiting_files(
+            files.parquet(f"{root}/files/*"),
+            spark.readStream.schema("id long, arrived_at timestamp").parquet(f"{root}/requests/*"),
+            timedelta(hours=wait),
+            f"{root}/out",
+            f"{root}/cp",
+        )
+        query.awaitTermination()
+        yield rows(feeds.read_intake(spark, f"{root}/out"), "id", "known"), query
+
+
+def test_a_file_waits_for_its_request(spark, tmp_path):
+    batches = waiting(
+        spark,
+        str(tmp_path),
+        ([(1, 1, 0), (2, 2, 0), (3, 3, 0), (None, 1, 0)], [(1, 0)]),
+        # the request of file 2 comes one batch later, that of file 1 has been there
+        ([(4, 1, 1), (1, 1, 1)], [(2, 1)]),
+        # too late for file 3, not for 5
+        ([(5, 3, 9)], [(3, 9)]),
+        ([(6, 1, 30)], [(9, 30)]),
+    )
+    assert next(batches)[0] == [(1, True), (None, True)]
+    assert next(batches)[0] == [(1, True), (2, True), (4, True), (None, True)]
+    assert (3, True) not in next(batches)[0]
+    found, query = next(batches)
+    assert found == sorted([(1, True), (2, True), (3, False), (4, True), (5, True), (6, True), (None, True)], key=repr)
+    assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 0
+
+
+def test_files_by_batch_time_are_never_late(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "id long, request_id long, file_type string"
+    for n in range(2):
+        spark.createDataFrame([(n, n, "gps")], schema).coalesce(1).write.parquet(f"{root}/files/{n}")
+        # the request of file 0 comes with the second batch
+        spark.createDataFrame([(i,) for i in ([5], [0, 1])[n]], "id long").coalesce(1).write.parquet(
+            f"{root}/requests/{n}"
+        )
+        query = feeds.start_waiting_files(
+            feeds.arriving(spark.readStream.schema(schema).parquet(f"{root}/files/*")),
+            feeds.arriving(spark.readStream.schema("id long").parquet(f"{root}/requests/*")),
+            timedelta(hours=1),
+            f"{root}/out",
+            f"{root}/cp",
+        )
+        query.awaitTermination()
+    assert rows(feeds.read_intake(spark, f"{root}/out", known=True), "id") == [(0,), (1,)]
+
+
+def test_manifest_takes_each_file_once_without_its_bytes(spark, tmp_path):
+    folder = tmp_path / "uploads" / "4"
+    folder.mkdir(parents=True)
+
+    def run():
+        feed = feeds.manifest_feed(spark, str(tmp_path / "uploads"), files_per_batch=2)
+        query = feeds.start_manifest(feed, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        return query
+
+    for n in range(5):
+        (folder / f"4_gps_{n}.gpx").write_bytes(b"1" * n)
+    query = run()
+    assert "content" not in query._jsq.explainInternal(False).split("ReadSchema")[-1]
+    (folder / "4_orders_a.csv").write_bytes(b"12")
+    run()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    # the source does not report the empty file
+    assert rows(found, "original_name", "size", "file_type", "request_id") == sorted(
+        [(f"{n}.gpx", n, "gps", 4) for n in range(1, 5)] + [("a.csv", 2, "orders", 4)]
+    )
+    # three batches of at most two listed files, then one more
+    assert found.select("batch").distinct().count() == 4
+
+
+def test_what_lies_behind_the_folds_is_removed(spark, tmp_path):
+    root = str(tmp_path)
+    for _ in split_events(spark, f"{root}/in", 7):
+        pass
+    events = standins.table(spark, SF, "events")
+    feed = standins.as_status_feed(feeds.file_feed(spark, f"{root}/in", events.schema, files_per_batch=1))
+    feeds.start_latest_status(
+        feed, f"{root}/log", f"{root}/cp", compact_every=2, keep_folds=1
+    ).awaitTermination()
+    batch = reports.latest_status(standins.status_feed(spark, SF))
+    assert rows(feeds.read_latest_status(spark, f"{root}/log")) == rows(batch)
+    # folds after batches 1, 3 and 5: the last one stays, and the batches after the one before it
+    assert sorted(p.name for p in (tmp_path / "log" / "state").iterdir()) == ["upto=5"]
+    assert sorted(p.name for p in (tmp_path / "log" / "batches").iterdir()) == ["batch=4", "batch=5", "batch=6"]
+
+
 def test_late_rows_are_taken_with_default_settings(spark, tmp_path):
     root = str(tmp_path)
     events = standins.table(spark, SF, "events")
