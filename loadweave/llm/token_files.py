@@ -7,7 +7,9 @@ count, so a task that is run again leaves at most a file that nobody reads.
 
 Whole texts are encoded with the tokenizers library. Its rules for these files never
 look across ASCII white space, so distinct pieces between it are encoded once and
-looked up after that. A null text is empty and gives only the end id. Rows with equal
+looked up after that. Where the file's split pattern is known to part letters, digits and
+other signs, a new piece is put together from such parts, unless it has an apostrophe or
+characters that are not plainly one of these. A null text is empty and gives only the end id. Rows with equal
 ids follow each other, null ids come first; an empty table gives no file.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -31,9 +34,18 @@ from loadweave.llm.common import filesystem, fresh_folder
 from loadweave.session import pin
 
 END_ID = 2
-_PIECES = 1 << 20
+_PIECES = 3 << 19
 _PIECE_BYTES = 64
 _WORDS_AT_ONCE = 1 << 19
+# fixed value: the split pattern under which letters, single digits and runs of other signs are words of
+# their own, but for some endings after an apostrophe
+_PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# lower-case letters of Latin scripts and frequent signs: what kind they are is the same in all versions of
+# Unicode, none composes with another, and lower case maps one to one
+_LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+_SIGNS = "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
+_OTHER = re.compile(f"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f{_SIGNS}]")
+_SIGN = re.compile(f"([0-9]|[^{_LATIN}0-9\n]+)")
 
 
 class Tokens:
@@ -45,7 +57,9 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.library.to_str())["normalizer"])
+        rules = json.loads(self.library.to_str())
+        self.lowers = '"Lowercase"' in json.dumps(rules["normalizer"])
+        self.parts = self.lowers and json.dumps({"Regex": _PARTING}) in json.dumps(rules["pre_tokenizer"])
         special = self.library.get_added_tokens_decoder().items()
         self.whole = [t.content.lower().encode() for _, t in special]
         # a special token ends what stands before it, so it can part pieces in one call
@@ -66,26 +80,52 @@ class Tokens:
 
     def _pieces(self, text: str) -> list[bytes]:
         data = text.encode()
+        if not self.lowers:
+            return data.split()
         # lower case first makes more pieces equal; it could make or break an added token,
-        # and change which letters compose with marks
-        if self.lowers and text.isascii():
-            lower = data.lower()
-            if not any(t in lower for t in self.whole):
-                return lower.split()
-        return data.split()
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make the pieces of some texts known."""
+        # and change which letters compose with marks, so only plain texts and pieces are changed
+        if any(t in data.lower() for t in self.whole):
+            return data.split()
+        if not _OTHER.search(text):
+            return text.lower().encode().split()
+        return [p.lower() if p.isascii() else p for p in data.split()]
+
+    def _parted(self, pieces: set[bytes]) -> dict[bytes, list[bytes]]:
+        """The pieces that can be cut, with their parts."""
+        if not self.parts:
+            return {}
+        able = [
+            p
+            for p in pieces
+            if not p.isalpha()
+            and b"'" not in p
+            and p == p.lower()
+            and (p.isascii() or not _OTHER.search(t := p.decode()) and t == t.lower())
+        ]
+        for token in self.whole:
+            if token in b"\n".join(able):
+                able = [p for p in able if token not in p]
+        cut = _SIGN.sub(r" \1 ", b"\n".join(able).decode()).encode().split(b"\n")
+        found = zip(able, map(bytes.split, cut), strict=True) if able else ()
+        return {p: parts for p, parts in found if len(parts) > 1}
+
+    def learn(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Make the pieces of some texts known; the long ones of those that were not."""
         if len(self.known) > _PIECES:
             self.known.clear()
-        new = list(set(chain.from_iterable(texts)) - self.known.keys())
-        for start in range(0, len(new), 2000):
-            part = new[start : start + 2000]
-            self.known.update(zip(part, self._encoded(part), strict=True))
-
-    def forget_long(self, texts: list[list[bytes]]) -> None:
-        for word in {w for w in chain.from_iterable(texts) if len(w) > _PIECE_BYTES}:
-            del self.known[word]
+        known = self.known
+        new = set(chain.from_iterable(texts)).difference(known)
+        # most new pieces are known words with signs around them
+        parted = self._parted(new)
+        whole = {p for p in new if p not in parted}
+        whole.update(p for p in chain.from_iterable(parted.values()) if p not in known)
+        whole = list(whole)
+        for start in range(0, len(whole), 2000):
+            part = whole[start : start + 2000]
+            known.update(zip(part, self._encoded(part), strict=True))
+        for piece, parts in parted.items():
+            known[piece] = b"".join(map(known.__getitem__, parts))
+        return [p for p in {*whole, *parted} if len(p) > _PIECE_BYTES]
 
     def encode(self, texts: list[str | None]):
         """Yield the ids of each text as an array, without an end id."""
@@ -96,10 +136,11 @@ class Tokens:
                 group.append(self._pieces(texts[at] or ""))
                 size += len(group[-1])
                 at += 1
-            self.learn(group)
+            long = self.learn(group)
             for words in group:
                 yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
-            self.forget_long(group)
+            for piece in long:
+                del self.known[piece]
 
 
 @lru_cache(maxsize=1)
