@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadweave import schemas
 from loadweave.functions.times import stamp, utc_instant, utc_naive
@@ -73,6 +74,31 @@ def evolve_down(requests: DataFrame) -> DataFrame:
     return requests.drop("updated_at").withColumn("created_at", utc_naive("created_at"))
 
 
+def _quoted(name: str) -> str:
+    return ".".join(f"`{part}`" for part in name.split("."))
+
+
+def create_table(spark: SparkSession, table: str, schema: T.StructType, path: str) -> None:
+    """A declared table in the catalogue, without rows, as a schema change creates it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {_quoted(table)} ({columns}) USING parquet LOCATION '{path}'")
+
+
+def add_column(spark: SparkSession, table: str, column: str, kind: str, default: str) -> None:
+    """A later column of a catalogue table. No file is written: rows from before show the default.
+
+    ``default`` is a SQL literal. Rows that are inserted without the column get it as well.
+    """
+    spark.sql(f"ALTER TABLE {_quoted(table)} ADD COLUMNS (`{column}` {kind} DEFAULT {default})")
+
+
+def evolve_table_up(spark: SparkSession, requests: str, files: str, files_path: str, now: datetime) -> None:
+    """The later schema in the catalogue: requests get ``updated_at``, and their files a table."""
+    at = now.astimezone(UTC) if now.tzinfo else now
+    add_column(spark, requests, "updated_at", "timestamp", f"TIMESTAMP '{at:%Y-%m-%d %H:%M:%S.%f}Z'")
+    create_table(spark, files, schemas.REQUEST_FILES, files_path)
+
+
 def empty_table(spark: SparkSession, schema=schemas.REQUEST_FILES) -> DataFrame:
     """A declared table without rows, as a schema change creates it."""
     return spark.createDataFrame([], schema)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadweave import schemas
 from loadweave.functions import names
+from loadweave.session import pin
 
 REASONS = "reasons"
 
@@ -67,6 +68,26 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(ok).drop(REASONS), checked.filter(~ok)
 
 
+def write_by_outcome(checked: DataFrame, path: str, reasons: Sequence[str] = ()) -> dict[str, int]:
+    """Write checked rows in one pass, by outcome (``valid`` or ``rejected``); the counts of that pass.
+
+    Counts: rows, rejected, and rows with each of ``reasons``. They are observed while the
+    rows are written, so the input is read, and every check run, only once.
+    """
+    broken = F.size(REASONS) > 0
+    counts = {"rows": F.count(F.lit(1)), "rejected": F.count_if(broken)}
+    counts |= {r: F.count_if(F.array_contains(REASONS, r)) for r in reasons}
+    seen = Observation("outcome")
+    outcome = F.when(broken, "rejected").otherwise("valid")
+    (
+        checked.observe(seen, *[n.alias(name) for name, n in counts.items()])
+        .withColumn("outcome", outcome)
+        .write.partitionBy("outcome")
+        .parquet(path)
+    )
+    return {name: int(n) for name, n in seen.get.items()}
+
+
 # ---- whole columns --------------------------------------------------------------
 
 
@@ -191,12 +212,21 @@ def storage_reconcile(landed: DataFrame, files: DataFrame) -> DataFrame:
     no path can be hot in the join. A path outside the upload folder's scheme stays
     whole and has a class of its own.
     """
-    disk = landed.select(
-        names.relative_path("path").alias("path"), F.col("size").alias("disk_bytes")
-    )
-    rows = files.groupBy(names.relative_path("file_path").alias("path")).agg(
+    disk, rows = _on_disk(landed), _catalogued(files)
+    return disk.join(rows, "path", "full_outer").select(*_reconciled())
+
+
+def _on_disk(landed: DataFrame) -> DataFrame:
+    return landed.select(names.relative_path("path").alias("path"), F.col("size").alias("disk_bytes"))
+
+
+def _catalogued(files: DataFrame) -> DataFrame:
+    return files.groupBy(names.relative_path("file_path").alias("path")).agg(
         F.max_by("file_size", "id").alias("row_bytes"), F.count("*").alias("rows")
     )
+
+
+def _reconciled() -> list[Column]:
     kind = (
         F.when(~names.is_landing_path("path"), "unrecognised_path")
         .when(F.col("rows").isNull(), "bytes_without_row")
@@ -204,13 +234,52 @@ def storage_reconcile(landed: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("disk_bytes") == F.col("row_bytes"), "ok")
         .otherwise("size_mismatch")
     )
-    return disk.join(rows, "path", "full_outer").select(
-        "path",
-        kind.alias("class"),
-        "disk_bytes",
-        "row_bytes",
-        F.coalesce("rows", F.lit(0).cast("long")).alias("rows"),
-    )
+    none = F.lit(0).cast("long")
+    return [F.col("path"), kind.alias("class"), *map(F.col, ("disk_bytes", "row_bytes")), F.coalesce("rows", none).alias("rows")]
+
+
+BUCKETS = 4096
+
+
+def unequal_buckets(disk: DataFrame, rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The buckets of paths, of ``_bucket``, whose paths and sizes differ between the sides.
+
+    Each side sums up a hash of every path and size, and counts them: neither order nor place matters,
+    and one row per bucket is all that is shuffled.
+    """
+
+    def digest(df, size, name):
+        line = F.xxhash64("path", size, F.col(size).isNull()).cast("decimal(38,0)")
+        return df.groupBy("_bucket").agg(F.struct(F.count("*"), F.sum(line)).alias(name))
+
+    both = digest(disk, "disk_bytes", "a").join(digest(rows, "row_bytes", "b"), "_bucket", "full_outer")
+    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("_bucket")
+
+
+def reconcile_by_digest(landed: DataFrame, files: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``storage_reconcile`` for sides that agree on most paths.
+
+    Paths are dealt into buckets by hash. Only rows of buckets whose digests differ (``unequal_buckets``) are
+    shuffled and joined; those of equal buckets come out as they are. Two different buckets would pass as equal
+    if the sums of their 64-bit hashes were the same.
+    """
+
+    def bucketed(df):
+        # a NULL path equals none, so its rows always go to the join
+        place = F.when(F.col("path").isNotNull(), F.pmod(F.xxhash64("path"), F.lit(buckets)))
+        return df.withColumn("_bucket", place)
+
+    disk, rows = bucketed(_on_disk(landed)), pin(bucketed(_catalogued(files)))
+    keyed = F.col("_bucket").isNotNull()
+    differ = pin(unequal_buckets(disk.filter(keyed), rows.filter(keyed), buckets))
+
+    def of(df, how):
+        return df.filter(keyed).join(differ, "_bucket", how)
+
+    met = [of(df, "left_semi").unionByName(df.filter(~keyed)).drop("_bucket") for df in (disk, rows)]
+    joined = met[0].join(met[1], "path", "full_outer").select(*_reconciled())
+    same = of(rows, "left_anti").withColumn("disk_bytes", F.col("row_bytes")).select(*_reconciled())
+    return joined.unionByName(same)
 
 
 def reconcile_summary(reconciled: DataFrame) -> DataFrame:

@@ -72,6 +72,29 @@ def _uuid_like(seed: str) -> str:
     )
 
 
+def _form_files(submissions: str, order: str) -> str:
+    """The file rows of submissions whose requests are numbered in some order."""
+    return f"""
+        WITH s AS (
+            SELECT *, row_number() OVER (ORDER BY {order}) AS request_id FROM {submissions}
+        ),
+        slots AS (
+            SELECT request_id, p.position, p.file_type, p.size AS file_size,
+                   regexp_extract(filename, '([^/]*)$', 1) AS original_name
+            FROM ({_slots('s')}) p JOIN s ON p.submission_id = s.submission_id
+            WHERE COALESCE(filename, '') <> ''
+        )
+        SELECT row_number() OVER (ORDER BY request_id, position) AS id, request_id, file_type,
+               original_name,
+               {_uuid_like("'run|' || request_id || '|' || position || '|' || original_name")}
+                   || '_' || original_name AS stored_name,
+               'uploads/' || request_id || '/' || request_id || '_' || file_type || '_'
+                   || original_name AS file_path,
+               'text/csv' AS content_type, file_size, {_NOW_US} AS created_us, {_NOW_US} AS updated_us
+        FROM slots
+    """
+
+
 _PAGE_NAMES = r"""
     SELECT page_id,
            regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\]*)$', 1) AS name
@@ -225,26 +248,7 @@ def all_sql() -> dict[str, str]:
     sql["slot_filter"] = f"""
         WITH s AS ({_SUBMISSIONS}) SELECT * FROM ({_slots('s')}) WHERE COALESCE(filename, '') <> ''
     """
-    sql["request_file_append"] = f"""
-        WITH s AS (
-            SELECT *, row_number() OVER (ORDER BY submission_id) AS request_id
-            FROM ({_SUBMISSIONS}) WHERE contact_name IS NOT NULL
-        ),
-        slots AS (
-            SELECT request_id, p.position, p.file_type, p.size AS file_size,
-                   regexp_extract(filename, '([^/]*)$', 1) AS original_name
-            FROM ({_slots('s')}) p JOIN s ON p.submission_id = s.submission_id
-            WHERE COALESCE(filename, '') <> ''
-        )
-        SELECT row_number() OVER (ORDER BY request_id, position) AS id, request_id, file_type,
-               original_name,
-               {_uuid_like("'run|' || request_id || '|' || position || '|' || original_name")}
-                   || '_' || original_name AS stored_name,
-               'uploads/' || request_id || '/' || request_id || '_' || file_type || '_'
-                   || original_name AS file_path,
-               'text/csv' AS content_type, file_size, {_NOW_US} AS created_us, {_NOW_US} AS updated_us
-        FROM slots
-    """
+    sql["request_file_append"] = _form_files(f"({_SUBMISSIONS}) WHERE contact_name IS NOT NULL", "submission_id")
     kinds = "(['orders', 'fleet', 'drivers', 'gps', 'other'])[CAST(doc_id % 5 + 1 AS INTEGER)]"
     sql["file_manifest"] = f"""
         SELECT 'file:/mnt/uploads/' || doc_id || '/' ||
@@ -340,6 +344,14 @@ def all_sql() -> dict[str, str]:
         FROM ({_FILES}) LEFT JOIN supplier ON s_suppkey = request_id
     """
 
+    sql["stored_cascade"] = f"""
+        SELECT 'request' AS part, id, status AS kind FROM ({_CUSTOMERS})
+        WHERE id NOT IN (SELECT s_suppkey FROM supplier)
+        UNION ALL
+        SELECT 'file', id, file_type FROM ({_FILES}) WHERE request_id NOT IN (SELECT s_suppkey FROM supplier)
+    """
+    sql["bucketed_request_files"] = sql["request_with_files"]
+
     # quality
     sql["domain_check"] = f"""
         SELECT file_type AS value, COUNT(*) AS rows FROM ({_FILES})
@@ -396,6 +408,23 @@ def all_sql() -> dict[str, str]:
                COALESCE(row_bytes, -1) AS row_bytes, rows
         FROM reconciled
     """
+    sql["reconcile_by_digest"] = sql["storage_reconcile"]
+    counts = {
+        "rows": "COUNT(*) + 2 * COUNT(CASE WHEN toxic = 1 THEN 1 END) + COUNT(CASE WHEN toxic = 0 THEN 1 END)"
+        " + COUNT(CASE WHEN quality = 0 THEN 1 END) + COUNT(CASE WHEN lang = 'de' THEN 1 END)",
+        "submission_id:required": "COUNT(CASE WHEN toxic = 1 THEN 1 END) + COUNT(CASE WHEN lang = 'de' THEN 1 END)",
+        "contact_name:required": "COUNT(*) - COUNT(quality) + COUNT(CASE WHEN lang = 'de' THEN 1 END)",
+        "mobile:required": "COUNT(CASE WHEN toxic = 1 THEN 1 END) + COUNT(CASE WHEN lang = 'de' THEN 1 END)",
+        "line:unreadable": "COUNT(CASE WHEN lang = 'de' THEN 1 END)",
+    }
+    counts["rejected"] = (
+        "COUNT(*) - COUNT(quality) + 2 * COUNT(CASE WHEN toxic = 1 THEN 1 END) + COUNT(CASE WHEN lang = 'de' THEN 1 END)"
+    )
+    written = {"valid": f"({counts['rows']}) - ({counts['rejected']})", "rejected": counts["rejected"]}
+    lines = {f"seen {k}": n for k, n in counts.items()} | {f"written {k}": n for k, n in written.items()}
+    sql["checked_in_one_pass"] = " UNION ALL ".join(
+        f"SELECT '{part}' AS part, {n} AS rows FROM ({_LABELLED})" for part, n in lines.items()
+    )
     sql["reconcile_summary"] = f"""{_RECONCILED}
         SELECT class, COUNT(*) AS paths, CAST(COALESCE(SUM(disk_bytes), 0) AS BIGINT) AS disk_bytes,
                CAST(COALESCE(SUM(row_bytes), 0) AS BIGINT) AS row_bytes
@@ -424,6 +453,16 @@ def all_sql() -> dict[str, str]:
                CASE WHEN status IS NULL THEN 'status:required' ELSE '' END AS reasons
         FROM ({early})
     """
+    sql["catalogue_evolution"] = f"""
+        SELECT 'request' AS part, id, status, {_NOW_US} AS updated_us FROM ({early})
+        UNION ALL
+        SELECT 'request', CAST(n_nationkey + 5000000 AS BIGINT), n_name, (1800000000 + n_nationkey)::BIGINT * 1000000 FROM nation
+        UNION ALL
+        SELECT 'file', event_id, event_type, epoch_us(ts) FROM events
+    """
+    sql["mobile_lookup"] = (
+        f"SELECT id, company_name, mobile, status, created_at FROM ({_REQUESTS}) WHERE mobile = '7'"
+    )
     sql["evolve_down"] = (
         f"SELECT id, status, o_orderdate AS created_at FROM ({early}) WHERE status IS NOT NULL"
     )
@@ -529,6 +568,31 @@ def all_sql() -> dict[str, str]:
                    || 'contact_name:required,mobile:required'
         FROM documents WHERE lang = 'de'
     """
+    # low ones are taken when they come back, so after all others
+    later = f"({_SUBMISSIONS}) WHERE contact_name IS NOT NULL"
+    turn = "CASE WHEN quality = 0 THEN 1 ELSE 0 END, submission_id"
+    sql["resubmission_stream"] = f"""
+        SELECT 'request' AS part, row_number() OVER (ORDER BY {turn}) AS id, md5(goal) AS text, '' AS reasons
+        FROM {later}
+        UNION ALL SELECT 'file', id, file_path, '' FROM ({_form_files(later, turn)})
+        UNION ALL
+        SELECT 'reject', CAST(submission_id AS BIGINT), '',
+               CASE WHEN contact_name IS NULL THEN 'contact_name:required' ELSE 'mobile:required' END
+        FROM ({_SUBMISSIONS}) WHERE contact_name IS NULL OR quality = 0
+        UNION ALL
+        SELECT 'reject', CAST(submission_id AS BIGINT), '', 'submission_id:unequal_copy'
+        FROM ({_SUBMISSIONS}) WHERE quality = 1 AND toxic = 0
+    """
+    sql["waiting_files_stream"] = """
+        WITH requests AS (
+            SELECT s_suppkey AS id, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 28 AS INTEGER)) AS came
+            FROM supplier
+        ),
+        seen AS (SELECT least((SELECT max(ts) FROM events), (SELECT max(came) FROM requests)) AS watermark)
+        SELECT event_id AS id, user_id AS request_id, event_type AS file_type, r.id IS NOT NULL AS known
+        FROM events LEFT JOIN requests r ON r.id = user_id AND r.came <= ts + INTERVAL 3 DAY, seen
+        WHERE r.id IS NOT NULL OR ts + INTERVAL 3 DAY < watermark
+    """
     sql["intake_stream"] = """
         SELECT event_id AS id, user_id AS request_id, event_type AS file_type,
                user_id IN (SELECT s_suppkey FROM supplier) AS known FROM events
@@ -571,4 +635,6 @@ def all_sql() -> dict[str, str]:
                's ' || s_name || '.txt' AS original_name
         FROM supplier
     """
+    # the stream's source does not report files without content
+    sql["manifest_stream"] = f"SELECT * FROM ({sql['disk_manifest']}) WHERE size > 0"
     return sql

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadweave import schemas
 from loadweave.functions import names
@@ -338,6 +339,30 @@ def cascade_delete(spark, sf_dir) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@_register
+def stored_cascade(spark, sf_dir) -> DataFrame:
+    """The cascade on stored tables: both are written, rewritten where rows go, and read back."""
+    folder = _fresh_folder(spark, "cascade")
+    customers = standins.customers(spark, sf_dir).withColumn("mobile", F.col("id").cast("string"))
+    tables.write_requests(customers, f"{folder}/requests")
+    tables.write_request_files(standins.request_files(spark, sf_dir), f"{folder}/files")
+    tables.delete_requests(spark, f"{folder}/requests", f"{folder}/files", _parents(spark, sf_dir))
+    requests, files = (tables.read_table(spark, f"{folder}/{t}") for t in ("requests", "files"))
+    return requests.select(F.lit("request").alias("part"), "id", F.col("status").alias("kind")).unionByName(
+        files.select(F.lit("file").alias("part"), "id", F.col("file_type").alias("kind"))
+    )
+
+
+@_register
+def bucketed_request_files(spark, sf_dir) -> DataFrame:
+    """Requests and files joined where they lie: both tables are bucketed on the request id."""
+    names_ = [f"{t}_{uuid4().hex}" for t in ("requests", "files")]
+    frames = [standins.customers(spark, sf_dir), standins.request_files(spark, sf_dir)]
+    for name, df, key in zip(names_, frames, ("id", "request_id"), strict=True):
+        tables.write_bucketed(df, name, key, 8, [key], _fresh_folder(spark, "bucketed"))
+    return relations.request_with_files(*map(spark.table, names_))
+
+
 # ---- quality -----------------------------------------------------------------------
 
 
@@ -391,6 +416,29 @@ def storage_reconcile(spark, sf_dir) -> DataFrame:
     )
 
 
+@_register
+def reconcile_by_digest(spark, sf_dir) -> DataFrame:
+    found = quality.reconcile_by_digest(
+        standins.stored_documents(spark, sf_dir), standins.catalogued_files(spark, sf_dir)
+    )
+    none = F.lit(-1).cast("long")
+    return found.withColumns(
+        {"disk_bytes": F.coalesce("disk_bytes", none), "row_bytes": F.coalesce("row_bytes", none)}
+    )
+
+
+@_register
+def checked_in_one_pass(spark, sf_dir) -> DataFrame:
+    """What one pass over the submissions has counted, and what it has written."""
+    folder = _fresh_folder(spark, "outcome")
+    checked = intake.check_submissions(landing.parse_submissions(standins.rough_submissions(spark, sf_dir), "value"))
+    reasons = ("submission_id:required", "contact_name:required", "mobile:required", "line:unreadable")
+    counted = quality.write_by_outcome(checked, folder, reasons)
+    seen = spark.createDataFrame([(f"seen {k}", v) for k, v in counted.items()], "part string, rows long")
+    written = spark.read.parquet(folder).groupBy(F.concat(F.lit("written "), "outcome").alias("part"))
+    return seen.unionByName(written.agg(F.count("*").alias("rows")))
+
+
 @_register
 def reconcile_summary(spark, sf_dir) -> DataFrame:
     return quality.reconcile_summary(
@@ -445,6 +493,41 @@ def evolve_down(spark, sf_dir) -> DataFrame:
     return change.evolve_down(evolved)
 
 
+@_register
+def catalogue_evolution(spark, sf_dir) -> DataFrame:
+    """The later schema in the catalogue: old rows show its default, new rows their own time."""
+    requests, files = (f"{t}_{uuid4().hex}" for t in ("requests", "request_files"))
+    early = _early_requests(spark, sf_dir)
+    early.write.option("path", _fresh_folder(spark, "evolved")).saveAsTable(requests)
+    change.evolve_table_up(spark, requests, files, _fresh_folder(spark, "evolved"), NOW)
+    # a nation each as a request of its own time
+    nations = standins.table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 5_000_000).cast("long").alias("id"),
+        F.col("n_name").alias("status"),
+        F.lit("2025-01-01").cast("timestamp_ntz").alias("created_at"),
+        F.timestamp_seconds(F.lit(1_800_000_000) + F.col("n_nationkey")).alias("updated_at"),
+    )
+    nations.write.insertInto(requests)
+    at = utc_instant("created_at")
+    stored = standins.request_files(spark, sf_dir).withColumns(
+        {"created_at": at, "updated_at": at, "content_type": F.lit(None).cast("string")}
+    )
+    stored.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REQUEST_FILES.fields]).write.insertInto(files)
+    rows = [
+        spark.table(requests).select(F.lit("request").alias("part"), "id", "status", "updated_at"),
+        spark.table(files).select(F.lit("file").alias("part"), "id", F.col("file_type").alias("status"), "updated_at"),
+    ]
+    return rows[0].unionByName(rows[1]).select("part", "id", "status", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@_register
+def mobile_lookup(spark, sf_dir) -> DataFrame:
+    """Requests of one mobile, found through the stored layout."""
+    folder = _fresh_folder(spark, "requests")
+    tables.write_requests(standins.requests(spark, sf_dir), folder)
+    return tables.by_mobile(spark, folder, "7").select("id", "company_name", "mobile", "status", "created_at")
+
+
 @_register
 def layout(spark, sf_dir) -> DataFrame:
     folder = _fresh_folder(spark, "requests")
@@ -619,23 +702,94 @@ def submission_stream(spark, sf_dir) -> DataFrame:
         f"{folder}/checkpoint",
         run=RUN,
     ).awaitTermination()
-    made = [
-        tables.read_table(spark, f"{folder}/tables/{t}")
-        for t in ("requests", "files", "rejected", "rejected_files")
-    ]
+    made = [feeds.read_submissions(spark, f"{folder}/tables", t) for t in feeds.SUBMISSION_TABLES]
     return _outcome(*made)
 
 
+@_register
+def resubmission_stream(spark, sf_dir) -> DataFrame:
+    """Submissions that land three times, batch by batch, the stream started anew for each.
+
+    First those of documents labelled low lack a mobile. Then these come corrected, toxic ones again as
+    they were, and good ones without their empty industry. Then the first low ones once more.
+    """
+    folder = _fresh_folder(spark, "resubmissions")
+    texts = standins.as_submissions(standins.labelled_documents(spark, sf_dir), "quality", "toxic")
+
+    def without(df, name):
+        return df.withColumn("value", F.regexp_replace("value", f'"{name}":"[^"]*",', ""))
+
+    low, other = texts.filter("quality = 0"), texts.filter("quality IS NULL OR quality = 1")
+    again = texts.filter("quality = 1 AND toxic = 1").unionByName(
+        without(texts.filter("quality = 1 AND toxic = 0"), "industry")
+    )
+    broken = without(low, "mobile")
+    for part in (broken.unionByName(other), low.unionByName(again), broken):
+        part.select("value").write.mode("append").parquet(f"{folder}/in")
+        feed = feeds.file_feed(spark, f"{folder}/in", T.StructType([T.StructField("value", T.StringType())]))
+        feeds.start_submissions(
+            landing.parse_submissions(feed, "value"),
+            lambda: NOW,
+            f"{folder}/tables",
+            f"{folder}/checkpoint",
+            run=RUN,
+        ).awaitTermination()
+    made = [feeds.read_submissions(spark, f"{folder}/tables", t) for t in feeds.SUBMISSION_TABLES]
+    return _outcome(*made)
+
+
+@_register
+def waiting_files_stream(spark, sf_dir) -> DataFrame:
+    """events as files that may land before their request: a supplier's, one each day of the month."""
+    folder = _fresh_folder(spark, "waiting")
+    first = F.lit("2024-01-01").cast("timestamp_ntz")
+    files = standins.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("request_id"),
+        F.col("event_type").alias("file_type"),
+        utc_instant("ts").alias(feeds.ARRIVED),
+    )
+    requests = _parents(spark, sf_dir).withColumn(
+        feeds.ARRIVED, utc_instant(F.timestamp_add("DAY", (F.col("id") % 28).cast("int"), first))
+    )
+    late = utc_instant(F.timestamp_add("DAY", F.lit(10), first)), utc_instant(F.timestamp_add("DAY", F.lit(20), first))
+    part = F.when(F.col(feeds.ARRIVED) < late[0], 0).when(F.col(feeds.ARRIVED) < late[1], 1).otherwise(2)
+    # ten days land, and the stream is started; then the next ten
+    for n in range(3):
+        streams = []
+        for name, df in (("files", files), ("requests", requests)):
+            df.filter(part == n).write.mode("append").parquet(f"{folder}/{name}")
+            streams.append(feeds.file_feed(spark, f"{folder}/{name}", df.schema))
+        feeds.start_waiting_files(
+            *streams, timedelta(days=3), f"{folder}/taken", f"{folder}/checkpoint"
+        ).awaitTermination()
+    return feeds.read_intake(spark, f"{folder}/taken").select("id", "request_id", "file_type", "known")
+
+
+@_register
+def manifest_stream(spark, sf_dir) -> DataFrame:
+    """Suppliers as files that land in three parts, taken in as a stream, each file once."""
+    folder = _fresh_folder(spark, "manifest")
+    root = f"{folder}/disk".removeprefix("file:")
+    files = standins.supplier_files(spark, sf_dir)
+    for n in range(3):
+        pin(landing.write_files(files.filter(F.pmod(F.xxhash64("path"), F.lit(3)) == n), root))
+        feed = feeds.manifest_feed(spark, f"{root}/uploads")
+        feeds.start_manifest(feed, f"{folder}/manifest", f"{folder}/checkpoint").awaitTermination()
+    manifest = tables.read_table(spark, f"{folder}/manifest").drop("batch", "modified_at")
+    return manifest.withColumn("path", names.relative_path("path"))
+
+
 @_register
 def intake_stream(spark, sf_dir) -> DataFrame:
     folder = _fresh_folder(spark, "intake")
     events = standins.table(spark, sf_dir, "events")
-    # the whole table as four files, one of them twice, and one file per batch
+    # the whole table in four parts, one of them twice, and some files per batch
     for part in (0, 1, 2, 3, 1):
-        events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part).coalesce(1).write.mode(
+        events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part).repartition(2).write.mode(
             "append"
         ).parquet(f"{folder}/in")
-    rows = feeds.file_feed(spark, f"{folder}/in", events.schema, files_per_batch=1).select(
+    rows = feeds.file_feed(spark, f"{folder}/in", events.schema, files_per_batch=2).select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("request_id"),
         F.col("event_type").alias("file_type"),

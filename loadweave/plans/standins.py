@@ -147,8 +147,9 @@ def as_submissions(d: DataFrame, *keep: str) -> DataFrame:
 def rough_submissions(spark, sf_dir) -> DataFrame:
     """The submissions as a landing really looks: copies, unequal copies, broken lines, no ids.
 
-    Documents labelled low land twice; toxic ones land again without a mobile and without
-    an id; those in German are followed by half a line.
+    Documents labelled low land twice; toxic ones land again without an id, and again without a
+    mobile; good ones land again without their empty industry; those in German are
+    followed by half a line.
     """
     d = labelled_documents(spark, sf_dir)
     texts = as_submissions(d, "quality", "toxic", "lang")
@@ -162,7 +163,8 @@ def rough_submissions(spark, sf_dir) -> DataFrame:
         return df.withColumn("value", kept)
 
     half = texts.filter("lang = 'de'").withColumn("value", F.substring("value", 1, 30))
-    parts = [texts, low, without(toxic, "submission_id"), half]
+    good = without(texts.filter("toxic = 0"), "industry")
+    parts = [texts, low, without(toxic, "submission_id"), without(toxic, "mobile"), good, half]
     return reduce(DataFrame.unionByName, parts).select("value")
 
 

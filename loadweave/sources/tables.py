@@ -9,12 +9,15 @@ task writes few files.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadweave.session import pin
+from loadweave.sources import folders
+
 
 def write_requests(
     df: DataFrame, path: str, mode: str = "errorifexists", bloom_values: int = 1_000_000
@@ -23,26 +26,77 @@ def write_requests(
 
     ``bloom_values`` is the number of distinct mobiles to expect per file.
     """
-    (
+    _requests_writer(df, bloom_values).mode(mode).parquet(path)
+
+
+def _requests_writer(df: DataFrame, bloom_values: int = 1_000_000) -> DataFrameWriter:
+    return (
         df.repartitionByRange("status", "id")
         .sortWithinPartitions("status", "id")
-        .write.mode(mode)
-        .partitionBy("status")
+        .write.partitionBy("status")
         .option("parquet.bloom.filter.enabled#mobile", "true")
         .option("parquet.bloom.filter.expected.ndv#mobile", str(bloom_values))
-        .parquet(path)
     )
 
 
 def write_request_files(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """File rows by file type, sorted by request."""
-    (
+    _request_files_writer(df).mode(mode).parquet(path)
+
+
+def _request_files_writer(df: DataFrame) -> DataFrameWriter:
+    return (
         df.repartitionByRange("file_type", "request_id", "id")
         .sortWithinPartitions("file_type", "request_id", "id")
-        .write.mode(mode)
-        .partitionBy("file_type")
-        .parquet(path)
+        .write.partitionBy("file_type")
+    )
+
+
+def by_mobile(spark: SparkSession, path: str, mobile: str) -> DataFrame:
+    """Requests of one mobile, from the layout of ``write_requests``.
+
+    The filter reaches the row groups: those whose bloom filter or dictionary does not have the value are not
+    read. Mobiles follow no order in the files, so their smallest and largest values rule out nothing.
+    """
+    return spark.read.parquet(path).filter(F.col("mobile") == mobile)
+
+
+def delete_requests(
+    spark: SparkSession, requests_path: str, files_path: str, doomed: DataFrame, bloom_values: int = 1_000_000
+) -> None:
+    """Delete the requests with an id in ``doomed``, and their files, from the stored tables.
+
+    Both are in the layouts above. Only partitions that hold a doomed row are read whole and
+    written anew; all others keep their files. Files go first, so that no file is ever
+    without its request. Repeating a delete that has broken off completes it.
+    """
+    ids = doomed.select("id").distinct()
+    _rewrite_without(
+        spark, files_path, ids.withColumnRenamed("id", "request_id"), "request_id", _request_files_writer
     )
+    _rewrite_without(spark, requests_path, ids, "id", lambda df: _requests_writer(df, bloom_values))
+
+
+def _rewrite_without(
+    spark: SparkSession, path: str, gone: DataFrame, key: str, writer: Callable[[DataFrame], DataFrameWriter]
+) -> None:
+    # the source gives the path as a URI
+    folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", "/[^/]*$", ""), r"\+", "%2B")
+    folder = F.url_decode(folder)
+    stored = spark.read.parquet(path)
+    hit = stored.select(key, folder.alias("_folder")).join(gone, key, "left_semi")
+    # one name per partition of the table
+    touched = [r[0] for r in hit.select("_folder").distinct().collect()]
+    if not touched:
+        return
+    part = spark.read.schema(stored.schema).option("basePath", path).parquet(*touched)
+    # written down before the old files go: what is read here must not be what is replaced
+    left = pin(part.withColumn("_folder", folder).join(gone, key, "left_anti"))
+    kept = {r[0] for r in left.select("_folder").distinct().collect()}
+    rows = left.drop("_folder").select(*stored.columns)
+    writer(rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    # a partition that has lost all its rows is not among those overwritten
+    folders.remove(spark, [f for f in touched if f not in kept])
 
 
 def write_bucketed(
