@@ -50,6 +50,7 @@ RULES = (
 )
 
 
+_AT_ONCE = 256
 _SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 
 
@@ -92,6 +93,55 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
+def _placed(sized: Column, rule: Rule, order: int) -> Column:
+    """Spans of matches, given for each the gap before it, its size and the length that counts.
+
+    Places are running sums. A fold copies what it has gathered with every match, so it runs over
+    ``_AT_ONCE`` matches at a time, from 0, and the sums of the parts move the spans.
+    """
+
+    def step(s, x):
+        start = s["at"] + x["gap"]
+        span = F.struct(
+            start.alias("start"),
+            F.lit(order).alias("order"),
+            (start + x["size"]).alias("end"),
+            F.lit(rule.kind).alias("kind"),
+        )
+        kept = F.when(x["counted"] >= rule.least, F.array(span)).otherwise(F.array().cast(_SPANS))
+        return F.struct((start + x["size"]).alias("at"), F.concat(s["spans"], kept).alias("spans"))
+
+    def folded(c):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+        return F.aggregate(F.slice(sized, c * _AT_ONCE + 1, F.lit(_AT_ONCE)), none, step)
+
+    def moved(parts):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            parts,
+            none,
+            lambda s, p: F.struct(
+                (s["at"] + p["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
+            ),
+            lambda s: s["starts"],
+        )
+
+        def span(x, by):
+            return F.struct(
+                (x["start"] + by).alias("start"), x["order"].alias("order"), (x["end"] + by).alias("end"), x["kind"].alias("kind")
+            )
+
+        return let(
+            starts,
+            lambda by: F.flatten(
+                F.transform(parts, lambda p, i: F.transform(p["spans"], lambda x: span(x, F.get(by, i))))
+            ),
+        )
+
+    last = F.floor((F.greatest(F.size(sized), F.lit(1)) - 1) / _AT_ONCE).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), last), folded), moved)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Sorted structs (start, order, end, kind) of the rule's matches in a text."""
     pattern = F.lit(rule.pattern)
@@ -109,22 +159,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
                 ),
             ),
         )
-
-        def step(s, x):
-            start = s["at"] + x["gap"]
-            span = F.struct(
-                start.alias("start"),
-                F.lit(order).alias("order"),
-                (start + x["size"]).alias("end"),
-                F.lit(rule.kind).alias("kind"),
-            )
-            kept = F.when(x["counted"] >= rule.least, F.array(span)).otherwise(F.array().cast(_SPANS))
-            return F.struct(
-                (start + x["size"]).alias("at"), F.concat(s["spans"], kept).alias("spans")
-            )
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-        return F.aggregate(sized, start, step, lambda s: s["spans"])
+        return let(sized, lambda sized: _placed(sized, rule, order))
 
     spans = let(
         F.regexp_extract_all(text, pattern, F.lit(0)),

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,20 @@ def test_only_candidates_are_found_by_the_index(spark):
 def test_empty_table(spark):
     assert secrets.secret_report(edges.empty(spark)).count() == 0
     assert secrets.candidates(edges.documents(spark).filter(F.lit(False))).count() == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    # no step of the work may take the square of the matches: this ran for many minutes once
+    text = "token=abcdef123 x AKIA " * 100_000 + "deadbeef" * 4
+    start = time.perf_counter()
+    docs = edges.documents(spark, [(1, text, "en", "a"), (2, "token=abcdef123 " * 1000, "en", "a")])
+    found = {r.doc_id: tuple(r) for r in secrets.secret_report(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert found == {1: (1, *by_hand(text)), 2: (2, *by_hand("token=abcdef123 " * 1000))}
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 512, 513])
+def test_matches_over_parts(spark, n):
+    text = "é token=abcdef123, " * n
+    docs = edges.documents(spark, [(1, text, "en", "a")])
+    assert tuple(secrets.secret_report(docs).first()) == (1, *by_hand(text))
