@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import SPACED_WORD
+from loadweave.llm.common import SPACED_WORD, let
 from loadweave.session import pin
 
 MIN_SITES = 5
@@ -77,22 +77,33 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def _removals(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """key, n_removed, masks: for each 64 lines of a document the bits of those that go."""
+    """key, n_removed, masks: for each 64 lines of a document, from its first on, the bits of those that go."""
     gone = lines.join(found, "h").filter(
         ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
     )
     chunk = F.shiftright("pos", 6)
     bit = F.expr("shiftleft(1L, pos % 64)")
     masks = gone.groupBy("key", chunk.alias("chunk")).agg(F.bit_or(bit).alias("mask"))
-    return masks.groupBy("key").agg(
+    gathered = masks.groupBy("key").agg(
         F.sum(F.bit_count("mask")).cast("long").alias("n_removed"),
-        F.map_from_entries(F.collect_list(F.struct("chunk", "mask"))).alias("masks"),
+        F.sort_array(F.collect_list(F.struct("chunk", "mask"))).alias("found"),
     )
 
+    def filled(found):
+        """Masks by chunk, zero where nothing goes: a line finds its own at once."""
+
+        def one(x, i):
+            before = F.coalesce(F.get(found, i - 1)["chunk"], F.lit(-1))
+            return F.concat(F.array_repeat(F.lit(0).cast("long"), x["chunk"] - before - 1), F.array(x["mask"]))
+
+        return F.flatten(F.transform(found, one))
+
+    return gathered.select("key", "n_removed", let(F.col("found"), filled).alias("masks"))
+
 
 def _remaining(text: Column, masks: Column) -> Column:
     def stays(_, i):
-        mask = F.try_element_at(masks, F.shiftright(i, 6))
+        mask = F.get(masks, F.shiftright(i, 6))
         return F.coalesce(F.getbit(mask, F.pmod(i, F.lit(64))), F.lit(0)) == 0
 
     kept = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import pytest
@@ -78,3 +79,26 @@ def test_report_and_no_python(spark):
 
 def test_empty_table(spark):
     assert line_dedup.line_report(edges.empty(spark)).count() == 0
+
+
+def test_very_many_lines_in_one_text(spark):
+    # a line finds its mask at once, so no step takes the square of the lines
+    shared = [f"shared {i}" for i in range(1000)]
+    rows = [(i, "\n".join(shared), "en", f"s{i}") for i in range(5)]
+    long = "\n".join(f"shared {i // 2 % 1000}" if i % 2 else f"own {i}" for i in range(500_000))
+    rows.append((9, long, "en", "s0"))
+    start = time.perf_counter()
+    found = {r.doc_id: r.text for r in line_dedup.without_boilerplate(edges.documents(spark, rows)).collect()}
+    assert time.perf_counter() - start < 60
+    assert found == dict(by_hand(rows, 5))
+    assert found[9].count("\n") == 249_999
+
+
+def test_masks_between_which_nothing_goes(spark):
+    # boilerplate in lines 0, 700 and 1300 only: whole masks are missing before, between and after
+    shared = {0: "b a", 700: "b b", 1300: "b c"}
+    text = "\n".join(shared.get(i, f"own {i}") for i in range(2000))
+    rows = [(i, "\n".join(shared.values()), "en", f"s{i}") for i in range(5)]
+    rows += [(7, text, "en", "s1"), (8, "\n" * 64 * 5 + "b b", "en", "s2")]
+    found = {r.doc_id: r.text for r in line_dedup.without_boilerplate(edges.documents(spark, rows)).collect()}
+    assert found == dict(by_hand(rows, 5))
