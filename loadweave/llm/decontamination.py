@@ -226,26 +226,27 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     places = write_phrases(benchmark, window)
 
-    def cleaned(text, words, hit, phrases):
-        while hit.any():
-            text = _cut(text, hit)
-            words = words_of(text)
-            _, hit, _ = _find([words], phrases)
-        return text
-
     def run(batches):
         phrases = _Phrases(places)
         for batch, words in _shards(batches):
-            sizes, hit, _ = _find(words, phrases)
-            ends = np.cumsum(sizes)
             at = batch.schema.get_field_index("text")
-            texts = [
-                cleaned(t, w, hit[e - s : e], phrases) if t else t
-                for t, w, s, e in zip(
-                    batch.column(at).to_pylist(), words, sizes, ends, strict=True
-                )
-            ]
+            texts = _cleaned(batch.column(at).to_pylist(), words, phrases)
             changed = pa.array(texts, batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), changed)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _cleaned(texts: list[str | None], words: list[list[bytes]], phrases) -> list[str | None]:
+    """The texts of a shard without spans. Those that a round has cut are the shard of the next one."""
+    texts, rows = list(texts), list(range(len(texts)))
+    while rows:
+        sizes, hit, _ = _find(words, phrases)
+        parts = np.split(hit, np.cumsum(sizes)[:-1])
+        again = []
+        for row, part in zip(rows, parts, strict=True):
+            if part.any():
+                texts[row] = _cut(texts[row], part)
+                again.append(row)
+        rows, words = again, [words_of(texts[row]) for row in again]
+    return texts

@@ -102,6 +102,24 @@ def test_cut_texts_are_clean(spark):
     assert not any(r.contaminated for r in deco.leaks(cut, frame).collect())
 
 
+def test_a_shard_of_changed_texts_is_searched_as_one(monkeypatch):
+    # two blocks; every text is cut, some of them in a second round
+    items = [(2, "short item only"), (9, "one two three four five six seven eight nine ten")]
+    blocks = [deco._block([(str(i), deco.words_of(t))], 10) for i, t in items]
+    nested = "one two three four five SHORT item ONLY six seven eight nine ten tail"
+    texts = [nested if i % 2 else f"a{i} short item only b" for i in range(60)] + [None, "", "clean"]
+    rounds = []
+
+    def counted(docs, phrases, find=deco._find):
+        rounds.append(len(docs))
+        return find(docs, phrases)
+
+    monkeypatch.setattr(deco, "_find", counted)
+    found = deco._cleaned(texts, [deco.words_of(t) for t in texts], blocks)
+    assert found == [" tail" if i % 2 else f"a{i}  b" for i in range(60)] + [None, "", "clean"]
+    assert rounds == [63, 60, 30]
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert deco.leaks(edges.empty(spark), items).count() == 0
