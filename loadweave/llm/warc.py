@@ -46,7 +46,8 @@ def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         .select("digest", "first", F.lit(True).alias("again"))
     )
     revisit = F.coalesce("again", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
+    # repeated payloads grow with the pages: one plan for all sizes
+    return rows.join(firsts.hint("merge"), "digest", "left").select(
         "page_id",
         "url",
         "digest",
