@@ -1,13 +1,11 @@
 """Links between the members of keys, where a key may have any number of members.
 
-Members of one key (a shard, a bucket, a group of candidates) are compared in one task as
-long as they weigh ``at_once`` together. A heavier key is cut into blocks of that weight:
-
-1. Each block is a task of its own, together with the key's pivot, its smallest node. Members are
-   joined within the block. Those that come out connected with the pivot are
-   connected with each other, over all blocks.
-2. What is not, the loose members, is compared with the members of all other blocks, in tasks of one
-   block and one block of loose members each. No pair is lost: of two members that are not both
+1. Members of one key (a shard, a bucket, a group of candidates) meet in blocks of bounded weight, each a
+   task of its own, together with the key's pivot, its smallest node. They are joined within the
+   block. Those that come out connected with the pivot are connected with each other, over all blocks.
+2. What is not, the loose members of keys of several blocks, is compared with all members of the key,
+   in tasks of one block and one block of loose members each. These blocks are larger, as their number
+   decides how often rows are sent. No pair is lost: of two members that are not both
    connected with the pivot one is loose. A key that is one group of near copies has few loose
    members, so the work stays in proportion to its size.
 
@@ -29,6 +27,8 @@ from loadweave.operators.relations import join_aggregated
 from loadweave.session import pin
 
 _PAIRS_AT_ONCE = 1 << 18
+# blocks of the first step are that much lighter than those of the second
+_LIGHTER = 32
 
 
 def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -140,13 +140,14 @@ def _across(join: Callable):
             label[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
             asks = rows.column("asks").to_numpy(zero_copy_only=False)
             label = join(rows, runs, label, asks)
-            linked = label != np.arange(len(rows))
+            # a loose member may also meet itself
+            linked = node != node[label]
             yield pa.record_batch([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
 
     return run
 
 
-def _blocks(weight, at_once: int):
+def _count(weight, at_once: int):
     return F.ceil(weight / F.lit(float(at_once))).cast("long")
 
 
@@ -154,52 +155,58 @@ def _place(node: str, blocks: str, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), node), F.col(blocks))
 
 
+def _every(blocks: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+
+
 def links(members: DataFrame, join: Callable, at_once: int, attach: Callable) -> DataFrame:
     """Links (a, b) between nodes that connect what ``join`` finds in each key.
 
     ``members`` has key, node and weight, all long, and is read twice. ``attach`` adds what
-    ``join`` reads, for the members of keys with two of them at least.
+    ``join`` reads, for the members of keys with two of them at least. ``at_once`` bounds the
+    weight of a block.
     """
     keys = members.groupBy("key").agg(
         F.min("node").alias("pivot"), F.sum("weight").alias("w"), F.count("*").alias("many")
     )
-    keys = keys.filter("many > 1").select("key", "pivot", _blocks(F.col("w"), at_once).alias("blocks"))
-    placed = pin(
-        join_aggregated(members, keys, "key")
-        .withColumn("block", _place("node", "blocks", 0))
-        .withColumn("split", F.col("blocks") > 1)
+    keys = keys.filter("many > 1").select(
+        "key",
+        "pivot",
+        _count(F.col("w"), max(1, at_once // _LIGHTER)).alias("light"),
+        _count(F.col("w"), at_once).alias("blocks"),
     )
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    first = placed.withColumn(
-        "block", F.explode(F.when(F.col("node") == F.col("pivot"), everywhere).otherwise(F.array("block")))
+    placed = pin(join_aggregated(members, keys, "key"))
+    own = F.array(_place("node", "light", 0))
+    first = placed.select(
+        "key",
+        "node",
+        F.explode(F.when(F.col("node") == F.col("pivot"), _every("light")).otherwise(own)).alias("block"),
+        (F.col("light") > 1).alias("split"),
     )
     found = pin(
-        attach(first.drop("pivot", "blocks"))
+        attach(first)
         .repartition("key", "block")
         .sortWithinPartitions("key", "block", "node")
         .mapInArrow(_within(join), "key long, node long, root long, loose boolean")
     )
     near = found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    loose = found.filter("loose").select("key", "node", "root")
+    loose = found.filter("loose").select("key", "node")
     if loose.isEmpty():
         return near
-    loose = placed.join(loose.select("key", "node"), ["key", "node"], "left_semi")
-    turns = loose.groupBy("key").agg(_blocks(F.sum("weight"), at_once).alias("turns"))
+    loose = placed.join(loose, ["key", "node"], "left_semi")
+    turns = loose.groupBy("key").agg(_count(F.sum("weight"), at_once).alias("turns"))
     # the pivot is in many blocks with one root: itself
     roots = found.select("key", "node", "root").distinct()
     both = join_aggregated(placed, turns, "key").join(roots, ["key", "node"])
-    all_turns = F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)
-    seen = both.withColumns({"turn": F.explode(all_turns), "asks": F.lit(False)})
     asking = both.join(loose.select("key", "node"), ["key", "node"], "left_semi")
-    asking = (
-        asking.withColumns({"own": F.col("block"), "turn": _place("node", "turns", 1), "asks": F.lit(True)})
-        .withColumn("block", F.explode(everywhere))
-        # its own block it has been compared with
-        .filter("block != own")
-        .drop("own")
+    seen = both.select(
+        "key", "node", "root", _place("node", "blocks", 1).alias("block"), F.explode(_every("turns")).alias("turn")
+    )
+    asking = asking.select(
+        "key", "node", "root", F.explode(_every("blocks")).alias("block"), _place("node", "turns", 2).alias("turn")
     )
     more = (
-        attach(seen.unionByName(asking).drop("pivot", "blocks", "turns", "split"))
+        attach(seen.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True))))
         .repartition("key", "block", "turn")
         .sortWithinPartitions("key", "block", "turn", "node")
         .mapInArrow(_across(join), "a long, b long")

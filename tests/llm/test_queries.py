@@ -3,8 +3,10 @@
 import glob
 import hashlib
 import os
+import random
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -89,3 +91,28 @@ def test_stages_keep_the_columns(spark):
     ]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
+def test_pipeline_with_labels_enough_for_a_cutoff(spark, tmp_path):
+    # documents that pass the base rules and go by the cutoffs alone, one copy and one leak among the others
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    good = [" ".join(rng.choices(words, k=80)) for _ in range(600)]
+    leak = " ".join(f"leak{i}" for i in range(12))
+    good[5] += " " + leak
+    lines = ["\n".join([f"line {i} of many", *(["the same again"] * 12), " ".join(rng.choices(words, k=60))]) for i in range(8)]
+    texts = [*good, *lines, good[7] + " w1"]
+    n = len(texts)
+    docs = {"doc_id": list(range(n)), "text": texts, "lang": ["en"] * n, "source": [f"s{i % 3}" for i in range(n)]}
+    docs["n_chars"] = [len(t) for t in texts]
+    tables = {
+        "documents": docs,
+        "labels": {"doc_id": list(range(600)), "quality": [1] * 600, "toxic": [0] * 600},
+        "benchmark": {"item_id": [1], "text": [leak]},
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    found = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(found) == set(range(600))
+    expected = good[:5] + [good[5].removesuffix(leak)] + good[6:]
+    assert found == {i: test_bpe.LIBRARY.encode_ordinary(t) for i, t in enumerate(expected)}
