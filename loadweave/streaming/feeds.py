@@ -308,15 +308,35 @@ def start_waiting_files(
     return _start(marked, checkpoint, "append", handle, continuous)
 
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+_LISTING_A_CORE = 4
+
+
+def _few_listing_tasks(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark``, but for the number of tasks that list folders.
+
+    By itself Spark takes a task for each folder, up to 10,000, and each sends kilobytes to the
+    driver besides some bytes a file. A stream lists whenever it looks for files, by the setting that its
+    session has then, so it gets a session of its own.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    few = _LISTING_A_CORE * max(1, spark.sparkContext.defaultParallelism)
+    own.conf.set(_LISTING, str(min(few, int(spark.conf.get(_LISTING)))))
+    return own
+
+
 def manifest_feed(
     spark: SparkSession, root: str, files_per_batch: int | None = None, name_filter: str | None = None
 ) -> DataFrame:
     """Manifest rows of the files that land below ``root``, each path once, with modified_at.
 
     Only path, length and time of a file are read, not its bytes. This source leaves out files
-    without content, as ``landing.binary_files`` does.
+    without content, as ``landing.binary_files`` does. Folders are listed by some tasks a core.
     """
-    feed = file_feed(spark, root, BINARY_FILE, "binaryFile", name_filter, files_per_batch)
+    feed = file_feed(_few_listing_tasks(spark), root, BINARY_FILE, "binaryFile", name_filter, files_per_batch)
     landed = feed.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     return parse_manifest(landed, "modified_at")
 

@@ -2,11 +2,12 @@ import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
-from tests.helpers import plan, rows
+from tests.helpers import plan, rows, settings
 
 from loadweave import schemas
 from loadweave.operators import relations, reports
 from loadweave.plans import standins
+from loadweave.sources import landing
 from loadweave.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -369,3 +370,26 @@ def test_late_rows_are_taken_with_default_settings(spark, tmp_path):
     feeds.start_intake(feed, lambda: known, f"{root}/files", f"{root}/cp").awaitTermination()
     taken = feeds.read_intake(spark, f"{root}/files")
     assert taken.count() == events.count() and taken.select("id").distinct().count() == events.count()
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for n in range(150):
+        folder = tmp_path / "uploads" / str(n) / "cv"
+        folder.mkdir(parents=True)
+        (folder / "a.txt").write_text("x" * n)
+    uploads, out, tracker = str(tmp_path / "uploads"), str(tmp_path / "out"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    with settings(spark, spark__sql__session__timeZone="Asia/Tokyo"):
+        feed = feeds.manifest_feed(spark, uploads)
+        assert feed.sparkSession.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    query = feeds.start_manifest(feed, out, str(tmp_path / "cp"))
+    query.awaitTermination()
+    for group in ("listing", str(query.runId)):
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+        assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    # a file without content is left out
+    taken = spark.read.parquet(out).select("path", "size")
+    assert sorted(r["size"] for r in taken.collect()) == list(range(1, 150))
+    assert rows(taken) == rows(landing.binary_files(spark, uploads).select("path", "size"))
