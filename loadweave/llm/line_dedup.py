@@ -113,10 +113,13 @@ def _remaining(text: Column, masks: Column) -> Column:
 def _with_removals(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
     """row (all columns of docs as a struct), text (what remains), n_removed."""
     lines = pin(_line_rows(docs, site))
-    removals = pin(_removals(lines, boilerplate(lines, min_sites)))
+    removals = _removals(lines, boilerplate(lines, min_sites))
     rows = docs.select(F.struct("*").alias("row"), _row_key().alias("key"))
-    # removals grow with the documents: one plan for all sizes, never a broadcast
-    return rows.join(removals.hint("merge"), "key", "left").select(
+    # removals grow with the documents: one plan for all sizes, never a broadcast; a hash of the key
+    # asks for a shuffle below the join, so that rows that share an id and text can be split over tasks
+    check = {"check": F.xxhash64("key")}
+    joined = rows.withColumns(check).join(removals.withColumns(check).hint("merge"), ["key", "check"], "left")
+    return joined.select(
         "row",
         _remaining(F.col("row.text"), F.col("masks")).alias("text"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),

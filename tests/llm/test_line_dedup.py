@@ -1,3 +1,4 @@
+import re
 import time
 from collections import defaultdict
 
@@ -101,3 +102,14 @@ def test_masks_between_which_nothing_goes(spark):
     rows += [(7, text, "en", "s1"), (8, "\n" * 64 * 5 + "b b", "en", "s2")]
     found = {r.doc_id: r.text for r in line_dedup.without_boilerplate(edges.documents(spark, rows)).collect()}
     assert found == dict(by_hand(rows, 5))
+
+
+def test_only_what_is_read_twice_is_written(spark, monkeypatch):
+    written = []
+    pin = line_dedup.pin
+    monkeypatch.setattr(line_dedup, "pin", lambda df: written.append(df.columns) or pin(df))
+    found = line_dedup.without_boilerplate(edges.documents(spark, many_lines()), min_sites=5)
+    assert len(written) == 3 and not any("masks" in columns for columns in written)
+    # both sides are shuffled right below the join: what adaptive execution needs to split a hot key
+    join = plan(found).split("SortMergeJoin", 1)[1]
+    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+L, check#", join)) == 2
