@@ -52,16 +52,21 @@ _FACTORS = np.random.default_rng(11).integers(1 << 63, size=BANDS * ROWS + SAMPL
 ) + np.uint64(1)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
     """The smallest value under each hash function; ``shingles`` are not empty."""
-    step = max(1, _HASHES_AT_ONCE // len(_FACTORS))
-    least = np.full(len(_FACTORS), np.uint64((1 << 64) - 1))
+    step = max(1, _HASHES_AT_ONCE // len(factors))
+    least = np.full(len(factors), np.uint64((1 << 64) - 1))
     for start in range(0, len(shingles), step):
-        part = (_FACTORS[:, None] * shingles[None, start : start + step]).min(axis=1)
+        part = (factors[:, None] * shingles[None, start : start + step]).min(axis=1)
         least = np.minimum(least, part)
     return least
 
 
+def _signature(least: np.ndarray) -> bytes:
+    """Of the minima under the last ``SAMPLES`` hash functions."""
+    return mixed(least).astype(np.uint8).tobytes()
+
+
 def features_of(h: np.ndarray, words: int = WORDS) -> tuple[int, int, bytes, np.ndarray]:
     """node, size, signature and buckets of the text whose words hash to ``h``."""
     shingles = shingle_set(h, words)
@@ -72,8 +77,8 @@ def features_of(h: np.ndarray, words: int = WORDS) -> tuple[int, int, bytes, np.
     bucket = np.arange(BANDS, dtype=np.uint64)
     for column in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         bucket = mixed(bucket * ODD + column)
-    signature = mixed(least[BANDS * ROWS :]).astype(np.uint8)
-    return node - (node >> 63 << 64), len(shingles), signature.tobytes(), bucket.view(np.int64)
+    signature = _signature(least[BANDS * ROWS :])
+    return node - (node >> 63 << 64), len(shingles), signature, bucket.view(np.int64)
 
 
 def features(text: Column, words: int = WORDS) -> Column:
@@ -126,8 +131,12 @@ def _likely(percent: int, miss: float):
 
 def _confirmed(percent: int, miss: float):
     def test(rows: pa.Table):
-        likely = sequential_test(rows, percent, miss)
-        alike = similar_sets(rows.column("shingles").combine_chunks(), percent)
+        # signatures are made again where the sets are: they would be most of what is moved but the sets
+        sets = rows.column("shingles").combine_chunks()
+        found = (np.frombuffer(x.as_buffer(), np.uint64) for x in sets)
+        made = pa.array([_signature(minima(x, _FACTORS[BANDS * ROWS :])) for x in found], pa.binary())
+        likely = sequential_test(rows.append_column("signature", made), percent, miss)
+        alike = similar_sets(sets, percent)
 
         def linked(i, j):
             ok = likely(i, j)
@@ -166,7 +175,7 @@ def roots(
     survivors = simhash.connected(likely.distinct())
     groups = survivors.select(F.col("a").alias("node"), F.col("root").alias("key"))
     tops = groups.select(F.col("key").alias("node"), "key").distinct()
-    narrow = nodes.select("node", "n", "size", "signature")
+    narrow = nodes.select("node", "n", "size")
     members = pin(groups.unionByName(tops).join(narrow.select("node", F.col("size").alias("weight")), "node"))
 
     def with_sets(placed: DataFrame) -> DataFrame:

@@ -148,3 +148,21 @@ def test_odd_documents(spark):
 def test_words():
     assert len(word_hashes("A b\tc\n\nd\x0be")) == 5
     assert len(word_hashes(None)) == 0
+
+
+def test_sets_are_moved_without_signatures(spark, monkeypatch):
+    moved, joined = [], minhash.inplace.joined
+
+    def seen(rows, numbers, *args):
+        moved.append(numbers.columns)
+        return joined(rows, numbers, *args)
+
+    monkeypatch.setattr(minhash.inplace, "joined", seen)
+    words = [f"v{i}" for i in range(101)]
+    docs = [(k, " ".join([*words, f"z{k}"])) for k in range(6)]
+    assert found(spark, docs) == by_hand(docs)
+    assert moved and not any("signature" in columns for columns in moved)
+    # those made again are those of the features
+    h = word_hashes(docs[0][1])
+    again = minhash.minima(minhash.shingle_set(h, 2), minhash._FACTORS[-minhash.SAMPLES :])
+    assert minhash._signature(again) == minhash.features_of(h)[2]
