@@ -70,9 +70,10 @@ class Tokens:
     def _encoded(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode() for p in pieces]
         if not self.mark or any(self.mark in t for t in texts):
-            found = self.library.encode_batch(texts, add_special_tokens=False)
+            found = self.library.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, np.uint32).tobytes() for e in found]
-        joined = self.library.encode(self.mark.join(texts), add_special_tokens=False)
+        # this call keeps no places of tokens in the text
+        (joined,) = self.library.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)
         ids = np.array(joined.ids, np.uint32)
         ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
         starts = [0, *(e + 1 for e in ends[:-1])]
@@ -179,12 +180,11 @@ def write_tokens(
             {"part": [part], "place": [place], "docs": [len(writer.docs)], "ids": [writer.ids]}
         )
 
-    written = pin(
-        dealt.select("doc_id", "text").mapInArrow(
-            write, "part long, place string, docs long, ids long"
-        )
+    files = dealt.select("doc_id", "text").mapInArrow(
+        write, "part long, place string, docs long, ids long"
     )
-    # one row per file
+    # one row per file: a table of one file, not of one for each row
+    written = pin(files.repartition(1))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn(
         "before", F.coalesce(F.sum("ids").over(earlier), F.lit(0).cast("long"))

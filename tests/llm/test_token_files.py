@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loadweave.llm import planes, token_files
+from tests import helpers as shared
 from tests.llm import edges
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -76,3 +77,13 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert token_files.read_documents(token_files.write_tokens(edges.empty(spark), PATH)).count() == 0
+
+
+def test_manifest_is_one_file(spark):
+    docs = spark.range(400).selectExpr("id doc_id", "concat('text ', id) text")
+    with shared.settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        manifest = token_files.write_tokens(docs, PATH)
+    assert manifest.count() > 1
+    assert len(manifest.inputFiles()) == 1
+    found = token_files.read_documents(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in found] == list(range(400))
